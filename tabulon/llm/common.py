@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -25,7 +26,9 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or f"file://{tempfile.gettempdir()}/checkpoints").rstrip("/")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found or f"file://{tempfile.gettempdir()}/checkpoints")
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub(r"^file:/(?!/)", "file:///", whole).rstrip("/")
 
 
 class Scratch:

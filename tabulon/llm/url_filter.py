@@ -95,8 +95,9 @@ def filter_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = Non
         edges = edges.union(redirects.select(node_of(F.col("url")).alias("u"), node_of(F.col("target")).alias("v")).where("u <> v"))
     labels = connected_components(edges, scratch)
     index = rule_index(F.col("host"), F.col("path"), rules)
-    name = lambda i: F.element_at(F.array(*(F.lit(r[1] + r[2]) for r in rules)), i + 1)
-    says = lambda i: F.element_at(F.array(*(F.lit(r[0]) for r in rules)), i + 1)
+    pick = lambda i, k: F.when(i.isNotNull(), F.element_at(F.array(*(F.lit(x) for x in k)), i + 1))
+    name = lambda i: pick(i, [r[1] + r[2] for r in rules])
+    says = lambda i: pick(i, [r[0] for r in rules])
     own = pages.select("page_id", "url").select("page_id", node_of(F.col("url")).alias("node"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("i", index)
     alias = labels.select("node", "comp").withColumn("host", host_of(F.col("node"))).withColumn("path", path_of(F.col("node"))).withColumn("says", says(index))
     group = alias.groupBy("comp").agg(F.bool_or(F.col("says") == "allow").alias("allowed"), F.bool_or(F.col("says") == "block").alias("blocked"))
@@ -104,6 +105,6 @@ def filter_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = Non
     told = scratch.write(labels.join(group, "comp").select("node", F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").alias("told")), "told")
     own = own.join(told, "node", "left")
     return own.select(
-        "page_id", "host", "path", F.when(F.col("i").isNotNull(), name(F.col("i"))).alias("rule"),
+        "page_id", "host", "path", name(F.col("i")).alias("rule"),
         F.coalesce(says(F.col("i")), F.col("told"), F.lit(default)).alias("verdict"),
     )

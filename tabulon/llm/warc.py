@@ -69,7 +69,7 @@ def write_warc(rows: DataFrame, folder: str) -> DataFrame:
                 if out is None:
                     fs, p = _open(path)
                     fs.create_dir(p.rsplit("/", 1)[0], recursive=True)
-                    out = fs.open_output_stream(p)
+                    out = fs.open_output_stream(p, compression=None)
                 refers = None if pd.isna(r.refers_to) else int(r.refers_to)
                 m = record(None if pd.isna(r.page_id) else int(r.page_id), r.url or "", bytes(r.payload), refers)
                 out.write(m)
