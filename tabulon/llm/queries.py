@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulon.llm.decontamination import find_leaks
+from tabulon.llm.embedding_dedup import near_vectors
 from tabulon.llm.jaccard_join import jaccard_components
 from tabulon.llm.language_id import held_out, identify
 from tabulon.llm.mixing import mix_documents
 from tabulon.llm.sharding import shard_documents
+from tabulon.llm.token_counts import maintained_counts
 from tabulon.llm.url_filter import filter_urls
 from tabulon.llm.warc import archive_pages
 
@@ -19,6 +22,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = _table(spark, sf_dir, "labels").where("toxic = 1")
+    return maintained_counts(_table(spark, sf_dir, "documents"), removed)
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -35,6 +43,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(_table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     docs = docs.select("doc_id", "text", "lang", held_out(F.col("doc_id")).alias("held_out"))
@@ -42,17 +54,35 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_warc": op2_warc,
     "op3_sharding": op3_sharding,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_mixing": op5_mixing,
+    "op6_decontamination": op6_decontamination,
     "op7_language_id": op7_language_id,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_url_filter": op10_url_filter,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_token_counts": r"""
+        SELECT source, lang, tokenizer, CAST(COUNT(*) AS BIGINT) AS docs, CAST(SUM(n) AS BIGINT) AS tokens
+        FROM (
+            SELECT source, lang, 'words-1' AS tokenizer, COALESCE(LEN(REGEXP_EXTRACT_ALL(text, '[^\x20\x09-\x0D]+')), 0) AS n, doc_id FROM documents
+            UNION ALL
+            SELECT source, lang, 'bytes-1' AS tokenizer, COALESCE(STRLEN(text), 0) AS n, doc_id FROM documents
+        )
+        WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)
+        GROUP BY source, lang, tokenizer
+    """,
+}
