@@ -271,3 +271,17 @@ def _block_pairs(meet: DataFrame, scratch: Scratch) -> DataFrame:
     other = F.when(F.col("b") < F.col("kb"), F.sequence(F.lit(0), F.col("ka") + F.col("kb") - 1)).otherwise(F.sequence(F.lit(0), F.col("kb") - 1))
     rows = rows.select("g", "sid", "comp", "b", F.explode(other).alias("o"))
     return rows.select("g", F.least("b", "o").cast("long").alias("x"), F.greatest("b", "o").cast("long").alias("y"), "b", "sid", "comp")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """The rows of docs that stand for their component: that of the smallest doc_id; equal rows stay once."""
+    scratch = Scratch(docs.sparkSession, "unique")
+    found = scratch.write(jaccard_components(docs, width, num, den), "found")
+    repeated = scratch.write(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    rows = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    if repeated.isEmpty():
+        return rows
+    again = repeated.select(F.col("doc_id").alias("_id"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    return rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))

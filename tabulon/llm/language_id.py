@@ -119,11 +119,14 @@ def mixture(like: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return out, total
 
 
-def _infer(langs: list[str], logp: np.ndarray):
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def language_of(langs: list[str], logp: np.ndarray):
+    """A column function of texts: struct of lang_pred, score and proportions (map of the chosen set)."""
+
+    @F.pandas_udf("lang_pred string, score double, proportions map<string,double>")
+    def infer(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for b in batches:
             pred, score, shares = [], [], []
-            for part in pieces(b["text"].fillna("")):
+            for part in pieces(b.fillna("")):
                 h, word, doc = trigrams(part)
                 if not len(h) or not langs:
                     pred += ["und"] * len(part)
@@ -137,22 +140,20 @@ def _infer(langs: list[str], logp: np.ndarray):
                     pred.append(langs[i] if x[i] > 0 else "und")
                     score.append(float(min(1.0, x[i])))
                     shares.append({langs[j]: float(x[j]) for j in np.flatnonzero(x > 0).tolist()})
-            yield b.drop(columns="text").assign(lang_pred=pred, score=score, proportions=shares)
+            yield pd.DataFrame({"lang_pred": pred, "score": score, "proportions": shares})
 
-    return run
+    return infer
 
 
-def identify(docs: DataFrame, labelled: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of docs with lang_pred, score (its proportion) and proportions (map of the chosen set).
+def identify(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """docs with a column ``language``: lang_pred, score (its proportion) and proportions (map of the chosen set).
 
     A null text, one without letters, and any text when nothing was learned are ``und`` with score 0.
     Equal texts get equal answers; lang, source and ids are not read here. Empty tables give empty ones.
+    A column of docs that is called language is replaced.
     """
     Scratch(docs.sparkSession, "lang")
-    langs, logp = learn(labelled)
-    rows = docs.select(*keep, "text")
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInPandas(_infer(langs, logp), f"{types}, lang_pred string, score double, proportions map<string,double>")
+    return docs.withColumn("language", language_of(*learn(labelled))(F.col("text")))
 
 
 def held_out(doc_id):

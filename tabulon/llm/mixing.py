@@ -87,19 +87,20 @@ def plan(sizes: dict, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, shard
 
 
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, shards: int = 8, seed: int = 7, by_shard: bool = False) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for each row of docs (doc_id, text, source).
+    """(doc_id, text_hash, size, source_size, target, taken, copies) for each row of docs (doc_id, text, source).
 
     size counts the words of the text (null: 0). A null source is a source, the last. taken counts the
     words of the document that the mix holds, repeats included, at most ``most`` times its size;
-    ``by_shard`` adds shard_words, the same by shard. Rows without words take nothing. Equal rows stand next to each
+    copies says how often the block of its first word is given, for mixing whole documents; ``by_shard``
+    adds shard_words, taken by shard. Rows without words take nothing. text_hash is the text's xxhash64. Equal rows stand next to each
     other in their source's order, and take what falls on them. Reruns agree. No rows give none.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     rows = docs.select(
-        "doc_id", F.col("source").cast("string").alias("src"),
+        "doc_id", F.xxhash64("text").alias("text_hash"), F.col("source").cast("string").alias("src"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-    ).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("b", F.pmod("h", F.lit(BUCKETS)).cast("int"))
+    ).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text_hash")).withColumn("b", F.pmod("h", F.lit(BUCKETS)).cast("int"))
     rows = scratch.write(rows, "rows")
     parts = scratch.write(rows.groupBy("src", "b").agg(F.sum("size").alias("n")), "parts")
     found = parts.groupBy("src").agg(F.sum("n").alias("n")).limit(MOST_SOURCES + 1).collect()
@@ -131,9 +132,20 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: i
     given = lambda s, q: s["words"] * (F.floor(q / F.col("blocks")) + F.when(s["turn"] < F.pmod(q, F.col("blocks")), 1).otherwise(0))
     upto = lambda q: F.aggregate("spans", F.lit(0).cast("long"), lambda x, s: x + given(s, q))
     taken = F.when(F.col("size") > 0, upto(F.col("quota"))).otherwise(F.lit(0)).cast("long")
-    out = at.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *(["spans", "quotas", "blocks"] if by_shard else []))
+    first = F.element_at("spans", 1)["turn"] < F.pmod("quota", "blocks")
+    copies = F.when(F.col("size") > 0, F.floor(F.col("quota") / F.col("blocks")) + F.when(first, 1).otherwise(0)).otherwise(F.lit(0)).cast("int")
+    out = at.select("doc_id", "text_hash", "size", "source_size", "target", taken.alias("taken"), copies.alias("copies"), *(["spans", "quotas", "blocks"] if by_shard else []))
     if not by_shard:
         return out
     first = lambda k: F.aggregate(F.slice("quotas", 1, k), F.lit(0).cast("long"), lambda x, y: x + y)
     words = F.array(*(upto(first(F.lit(k + 1))) - upto(first(F.lit(k))) for k in range(shards)))
     return out.withColumn("shard_words", F.when(F.col("size") > 0, words)).drop("spans", "quotas", "blocks")
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs as often as the mixture holds them whole (``copies``); those it doesn't hold go."""
+    scratch = Scratch(docs.sparkSession, "mixed")
+    plan_ = mix_documents(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("copies").alias("_copies"))
+    plan_ = scratch.write(plan_.dropDuplicates(["_id", "_hash"]), "plan")
+    rows = docs.join(plan_, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
+    return rows.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

@@ -12,6 +12,7 @@ from tabulon.llm.embedding_dedup import near_vectors
 from tabulon.llm.jaccard_join import jaccard_components
 from tabulon.llm.language_id import held_out, identify
 from tabulon.llm.mixing import mix_documents
+from tabulon.llm.pii import find_personal_data
 from tabulon.llm.sharding import shard_documents
 from tabulon.llm.token_counts import maintained_counts
 from tabulon.llm.url_filter import filter_urls
@@ -50,8 +51,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     docs = docs.select("doc_id", "text", "lang", held_out(F.col("doc_id")).alias("held_out"))
-    out = identify(docs.select("doc_id", "held_out", "text"), docs.where("NOT held_out AND lang IS NOT NULL"), ("doc_id", "held_out"))
-    return out.select("doc_id", "held_out", "lang_pred", "score")
+    out = identify(docs.select("doc_id", "held_out", "text"), docs.where("NOT held_out AND lang IS NOT NULL"))
+    return out.select("doc_id", "held_out", "language.lang_pred", "language.score")
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(_table(spark, sf_dir, "documents"))
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_decontamination": op6_decontamination,
     "op7_language_id": op7_language_id,
+    "op8_pii": op8_pii,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_url_filter": op10_url_filter,
 }
