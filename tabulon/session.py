@@ -1,0 +1,17 @@
+"""A session with the settings that the engine expects."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+
+def session(master: str | None = None, partitions: int | None = None, **conf: str) -> SparkSession:
+    """UTC, ANSI mode and adaptive execution; partitions only where the cluster's default doesn't fit."""
+    b = SparkSession.builder.appName("tabulon").config("spark.sql.session.timeZone", "UTC").config("spark.sql.ansi.enabled", "true").config("spark.sql.adaptive.enabled", "true")
+    if master:
+        b = b.master(master)
+    if partitions:
+        b = b.config("spark.sql.shuffle.partitions", str(partitions))
+    for k, v in conf.items():
+        b = b.config(k.replace("__", "."), v)
+    return b.getOrCreate()
