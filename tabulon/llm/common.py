@@ -54,6 +54,10 @@ class Scratch:
         out._scratch_path = p
         return out
 
+    def tidy(self) -> None:
+        """Let Spark's cleaner remove the shuffle files behind finished tables, which wait for the driver's garbage collection."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *tables) -> None:
         try:
             jvm, jsc = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc

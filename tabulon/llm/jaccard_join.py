@@ -13,8 +13,10 @@ ones, exact check of the overlap.
 
 Skew. Equal sets are one node. Every node first meets under one leader only, in blocks, which joins
 large groups of copies at linear cost; afterwards only meetings whose documents lie in more than one
-component run again, whole, in pairs of blocks that leave out what is already joined. No pair of
-different texts that shares an element stays unchecked unless its component is known to be the same.
+component run again, whole, in pairs of blocks that leave out what is already joined: first a
+count over sketches of all elements, which are small, then the search over shingles of the documents
+that found a partner. No pair of different texts that shares an element stays unchecked unless its component
+is known to be the same.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from tabulon.llm.components import connected_components
 
 BLOCK = 192
 MU = 0.0085
+#: Wanted ids up to which they are broadcast (16 bytes each); more are joined by a shuffle.
+FEW = 1_000_000
 
 
 class _Words(dict):
@@ -76,32 +80,49 @@ def size_bands(num: int, den: int, most: int) -> list[tuple[int, int]]:
         top = max(top + 1, top * 3 // 2)
 
 
-def elements(s: np.ndarray, bands: list[tuple[int, int]], num: int, den: int) -> np.ndarray:
-    """The first e + 1 elements of the set in each band in which it can meet others."""
-    n = len(s)
-    b = int(np.searchsorted([x[0] for x in bands], n))
-    out = []
-    for at in (b, b - 1):
-        if at < 0 or at < b and bands[at][0] * den // num < n:
-            continue
+def band_of(n: int, bands: list[tuple[int, int]]) -> int:
+    return bisect_left(bands, (n, 0))
+
+
+def own_bands(n: int, bands: list[tuple[int, int]], num: int, den: int) -> list[int]:
+    """The bands in which a set of n can meet others: its own, and the one below if linked sets reach into it."""
+    b = band_of(n, bands)
+    return [b] if b == 0 or bands[b - 1][0] * den // num < n else [b, b - 1]
+
+
+def elements(s: np.ndarray, bands: list[tuple[int, int]], num: int, den: int) -> tuple[np.ndarray, bytes]:
+    """The first e + 1 parts, fullest first, in each of the set's bands; and 16 bits of every part, in order."""
+    out, sketch = [], []
+    for at in own_bands(len(s), bands, num, den):
         k = bands[at][1]
         part = ((mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
-        order = np.argsort(part, kind="stable")
+        order = np.argsort(part.astype(np.uint32), kind="stable")
         cuts = np.searchsorted(part[order], np.arange(k + 1, dtype=np.uint64))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(s[order] + np.uint64(77)), dtype=np.uint64)])
         content = mix64((sums[cuts[1:]] - sums[cuts[:-1]]) ^ mix64(np.arange(k, dtype=np.uint64) * np.uint64(1_000_003) + np.uint64(at + 1)))
-        first = np.lexsort((content, -np.diff(cuts)))[: max_difference(n, num, den) + 1]
-        out.append(content[first])
+        out.append(content[np.lexsort((content, -np.diff(cuts)))[: max_difference(len(s), num, den) + 1]].view(np.int64))
+        sketch.append((content >> np.uint64(48)).astype("<u2").tobytes())
+    return np.concatenate(out), b"".join(sketch)
+
+
+def sketched(sketch: bytes, n: int, bands: list[tuple[int, int]], num: int, den: int) -> np.ndarray:
+    """A sketch's elements: band, part and 16 bits; equal parts stay equal, others rarely become so."""
+    value, at, out = np.frombuffer(sketch, "<u2").astype(np.int64), 0, []
+    for b in own_bands(n, bands, num, den):
+        k = bands[b][1]
+        out.append(value[at : at + k] | np.arange(k) << 16 | b << 48)
+        at += k
     return np.concatenate(out)
 
 
-def divide_skip(sets: list[np.ndarray], comps: list, num: int, den: int, keep=None) -> list[tuple[int, int]]:
-    """Links that join ``sets`` into components, as index pairs; sets of one ``comps`` value count as joined.
+def divide_skip(sets: list[np.ndarray], sizes: list[int], comps: list, floor, most, accept, keep=None) -> list[tuple[int, int]]:
+    """Index pairs of ``sets`` that ``accept``(size, larger size, overlap) takes; those of one ``comps`` value are left out.
 
-    ``keep(i, j)`` limits the pairs of interest. Every linked pair ends up within one component of the links.
+    ``floor``(size) is the least overlap with any set up to ``most``(size); ``keep(i, j)`` limits the pairs.
+    A pair taken joins its components: the links connect what all pairs would.
     """
     m = len(sets)
-    order = sorted(range(m), key=lambda i: len(sets[i]))
+    order = sorted(range(m), key=lambda i: sizes[i])
     root = list(range(m))
 
     def find(i: int) -> int:
@@ -126,8 +147,7 @@ def divide_skip(sets: list[np.ndarray], comps: list, num: int, den: int, keep=No
         n = len(sets[i])
         mine = inv[at : at + n].tolist()
         at += n
-        t = -(-n * num // den)
-        most = n * den // num
+        t, reach = floor(sizes[i]), most(sizes[i])
         lists = sorted((ends[x + 1] - ends[x], x) for x in mine)
         long = min(t - 1, int(t / (MU * np.log2(max(2, lists[-1][0])) + 1)))
         short = lists[: n - long]
@@ -135,7 +155,7 @@ def divide_skip(sets: list[np.ndarray], comps: list, num: int, den: int, keep=No
         for j in heapq.merge(*(postings[ends[x] : ends[x + 1]] for c, x in short if c > 1)):
             counts[j] = counts.get(j, 0) + 1
         for j, seen in counts.items():
-            if j <= r or seen < t - long or len(sets[order[j]]) > most or find(i) == find(order[j]) or keep and not keep(i, order[j]):
+            if j <= r or seen < t - long or sizes[order[j]] > reach or find(i) == find(order[j]) or keep and not keep(i, order[j]):
                 continue
             total, rest = seen, long
             for _, x in lists[n - long :]:
@@ -144,28 +164,37 @@ def divide_skip(sets: list[np.ndarray], comps: list, num: int, den: int, keep=No
                 rest -= 1
                 if total + rest < t:
                     break
-            if den * total >= num * (n + len(sets[order[j]]) - total):
-                root[find(order[j])] = find(i)
+            if accept(sizes[i], sizes[order[j]], total):
                 out.append((i, order[j]))
+                root[find(order[j])] = find(i)
                 left -= 1
                 if not left:
                     return out
     return out
 
 
+def set_id(s: np.ndarray) -> int:
+    return int((mix64(s + np.uint64(13)).sum(dtype=np.uint64) ^ np.uint64(len(s))).view(np.int64))
+
+
 def _profiles(width: int, num: int, den: int):
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bands = size_bands(num, den, 1)
+        bands, told = size_bands(num, den, 1), set()
         for b in batches:
-            sids, ns, sigs = [], [], []
+            sids, ns, parts, sketches = [], [], [], []
             for text in b["text"]:
                 s = shingles(text, width)
                 if len(s) > bands[-1][0]:
                     bands = size_bands(num, den, len(s))
                 ns.append(len(s))
-                sids.append(int((mix64(s + np.uint64(13)).sum(dtype=np.uint64) ^ np.uint64(len(s))).view(np.int64)) if len(s) else None)
-                sigs.append(elements(s, bands, num, den).view(np.int64) if len(s) else [])
-            yield pd.DataFrame({"doc_id": b["doc_id"].array, "n": ns, "sid": pd.array(sids, "Int64"), "sigs": sigs})
+                sids.append(set_id(s) if len(s) else None)
+                first = len(s) > 0 and sids[-1] not in told
+                part, sketch = elements(s, bands, num, den) if first else (None, None)
+                parts.append(part)
+                sketches.append(sketch)
+                if first:
+                    told.add(sids[-1])
+            yield pd.DataFrame({"doc_id": b["doc_id"].array, "n": ns, "sid": pd.array(sids, "Int64"), "parts": parts, "sketch": sketches})
 
     return run
 
@@ -174,21 +203,76 @@ def _meet(width: int, num: int, den: int):
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in runs(batches, ["g", "x", "y"]):
             g = g.drop_duplicates("sid")
-            side, x, y = g["b"].tolist(), g["x"].iloc[0], g["y"].iloc[0]
-            keep = None if x == y else lambda i, j: side[i] != side[j]
-            sid = g["sid"].tolist()
-            found = divide_skip([shingles(t, width) for t in g["text"]], g["comp"].tolist(), num, den, keep)
+            sets = [shingles(t, width) for t in g["text"]]
+            found = divide_skip(
+                sets, [len(s) for s in sets], g["comp"].tolist(), lambda n: -(-n * num // den), lambda n: n * den // num,
+                lambda n, m, both: den * both >= num * (n + m - both), _across(g),
+            )
             if found:
+                sid = g["sid"].tolist()
                 yield pd.DataFrame([(sid[i], sid[j]) for i, j in found], columns=["u", "v"])
 
     return run
 
 
+def _across(g: pd.DataFrame):
+    side = g["b"].tolist()
+    return None if g["x"].iloc[0] == g["y"].iloc[0] else lambda i, j: side[i] != side[j]
+
+
+def partnered(sets: list[np.ndarray], n: np.ndarray, parts: np.ndarray, comp: np.ndarray, side: np.ndarray | None, num: int, den: int) -> np.ndarray:
+    """Whether each set shares enough elements with one of another component: overlaps by products of incidence columns.
+
+    n: set sizes; parts: the number of parts in each set's band; side: sets of one side aren't paired.
+    """
+    m = len(sets)
+    tokens, inv, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(m), [len(s) for s in sets])
+    shared = np.cumsum(count > 1) - 1
+    keep = count[inv] > 1
+    column, owner = shared[inv[keep]], owner[keep]
+    both = np.zeros((m, m), np.float32)
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        i, j = np.searchsorted(column, (lo, lo + 4096))
+        x = np.zeros((m, 4096), np.float32)
+        x[owner[i:j], column[i:j] - lo] = 1
+        both += x @ x.T
+    low, high = np.minimum(n[:, None], n[None]), np.maximum(n[:, None], n[None])
+    k = np.where(n[:, None] <= n[None], parts[:, None], parts[None])
+    hit = (both >= k - (low + high) * (den - num) // (den + num)) & (low * den >= high * num) & (comp[:, None] != comp[None])
+    if side is not None:
+        hit &= side[:, None] != side[None]
+    return hit.any(1)
+
+
+def _partnered(num: int, den: int):
+    """Rows of each (g, x, y) that share enough elements with a row of another component."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in runs(batches, ["g", "x", "y"]):
+            g = g.drop_duplicates("sid")
+            n = g["n"].to_numpy(np.int64)
+            bands = size_bands(num, den, int(n.max()))
+            sets = [sketched(x, m, bands, num, den) for x, m in zip(g["sketch"], n.tolist())]
+            parts = np.array([bands[band_of(m, bands)][1] for m in n.tolist()])
+            side = None if g["x"].iloc[0] == g["y"].iloc[0] else g["b"].to_numpy()
+            hit = partnered(sets, n, parts, g["comp"].to_numpy(), side, num, den)
+            if hit.any():
+                yield g.loc[hit, ["g", "x", "y", "b", "sid", "comp"]]
+
+    return run
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(F.col("g"), F.col("x"), F.col("y")).sortWithinPartitions("g", "x", "y")
+
+
 def _search(groups: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Links within each (g, x, y) of groups (g, x, y, b, sid, comp)."""
     rows = groups.join(texts, "sid").select("g", "x", "y", "b", "sid", "comp", "text")
-    rows = rows.repartition(F.col("g"), F.col("x"), F.col("y")).sortWithinPartitions("g", "x", "y")
-    return rows.mapInPandas(_meet(width, num, den), "u long, v long")
+    return _dealt(rows).mapInPandas(_meet(width, num, den), "u long, v long")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -201,61 +285,71 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = docs.select("doc_id", "text")
-    prof = scratch.write(docs.mapInPandas(_profiles(width, num, den), "doc_id long, n long, sid long, sigs array<long>"), "profiles")
-    sets = prof.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("lo"), F.first("sigs").alias("sigs"))
-    sets = scratch.write(sets, "sets")
-    sig = sets.select("sid", F.explode("sigs").alias("sig"))
+    prof = scratch.write(docs.mapInPandas(_profiles(width, num, den), "doc_id long, n long, sid long, parts array<long>, sketch binary"), "profiles")
+    lows = scratch.write(prof.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("lo")), "lows")
+    sig = prof.select("sid", F.explode("parts").alias("sig"))
     w = Window.partitionBy("sig")
     edges = (
         sig.select("sid", F.min("sid").over(w).alias("g")).where("g <> sid")
         .groupBy("g", "sid").agg(F.count(F.lit(1)).alias("hits"))
     )
     edges = scratch.write(edges, "edges")
-    member = edges.select("sid").union(edges.select(F.col("g").alias("sid"))).distinct()
-    texts = _texts(docs, sets.select("sid", "lo"), member, width, scratch)
-
-    best = edges.groupBy("sid").agg(F.max_by("g", F.struct("hits", "g")).alias("g"))
-    best = scratch.write(best, "best")
-    blocks = best.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("k"))
-    blocks = scratch.write(blocks, "blocks")
+    rows = scratch.write(prof.select("doc_id", "n", "sid"), "rows")
+    sketches = scratch.write(prof.where("sketch IS NOT NULL").select("sid", "n", "sketch"), "sketches")
+    scratch.drop(prof)
+    scratch.tidy()
+    member = scratch.write(edges.select("sid").union(edges.select(F.col("g").alias("sid"))).distinct(), "member")
+    texts = _texts(docs, lows, member, width, scratch)
+
+    best = scratch.write(edges.groupBy("sid").agg(F.max_by("g", F.struct("hits", "g")).alias("g")), "best")
+    blocks = scratch.write(best.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("k")), "blocks")
     inner = best.join(blocks, "g").select("g", F.pmod(F.xxhash64("sid"), F.col("k")).alias("x"), "sid")
     heads = blocks.select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("x"), F.col("g").alias("sid"))
     groups = inner.union(heads).select("g", "x", F.col("x").alias("y"), F.lit(0).alias("b"), "sid", F.col("sid").alias("comp"))
     links = scratch.write(_search(groups, texts, width, num, den), "links")
-    labels = connected_components(links, scratch)
+    scratch.tidy()
+    labels = connected_components(links, scratch).withColumnRenamed("node", "sid")
 
-    labels = scratch.write(member.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("comp", "sid").alias("comp")), "labels")
+    labels = scratch.write(member.join(labels, "sid", "left").select("sid", F.coalesce("comp", "sid").alias("comp")), "labels")
     meet = edges.select("g", "sid").union(edges.select("g", F.col("g").alias("sid")).distinct())
     meet = scratch.write(meet.join(labels, "sid"), "meet")
     mixed = meet.groupBy("g").agg(F.min("comp").alias("a"), F.max("comp").alias("z")).where("a <> z").select("g")
-    mixed = scratch.write(mixed, "mixed")
-    meet = scratch.write(meet.join(mixed, "g"), "open")
-    more = _search(_block_pairs(meet, scratch), texts, width, num, den)
+    meet = scratch.write(meet.join(scratch.write(mixed, "mixed"), "g"), "open")
     if not meet.isEmpty():
-        links = scratch.write(links.union(labels.select(F.col("sid").alias("u"), F.col("comp").alias("v"))).union(more), "all")
-        labels = connected_components(links, scratch)
-        labels = labels.withColumnRenamed("node", "sid")
-    whole = sets.select("sid", "lo").join(labels.select("sid", "comp"), "sid", "left").select("sid", "lo", F.coalesce("comp", "sid").alias("comp"))
+        pairs = _block_pairs(meet, scratch).join(sketches, "sid").select("g", "x", "y", "b", "sid", "comp", "n", "sketch")
+        pairs = scratch.write(_dealt(pairs).mapInPandas(_partnered(num, den), "g long, x long, y long, b int, sid long, comp long"), "partnered")
+        scratch.tidy()
+        more = _search(pairs, texts, width, num, den)
+        links = scratch.write(labels.select(F.col("sid").alias("u"), F.col("comp").alias("v")).union(more), "all")
+        labels = connected_components(links, scratch).withColumnRenamed("node", "sid")
+    whole = lows.join(labels, "sid", "left").select("sid", "lo", F.coalesce("comp", "sid").alias("comp"))
     whole = scratch.write(whole, "whole")
     lowest = scratch.write(whole.groupBy("comp").agg(F.min("lo").alias("component_id")), "lowest")
     ids = scratch.write(whole.join(lowest, "comp").select("sid", "component_id"), "ids")
-    return prof.select("doc_id", F.col("n").alias("n_shingles"), "sid").join(ids, "sid", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    scratch.drop(sketches, texts, edges, meet)
+    scratch.tidy()
+    return rows.join(ids, "sid", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
 
 
-def _texts(docs: DataFrame, sets: DataFrame, member: DataFrame, width: int, scratch: Scratch) -> DataFrame:
-    """(sid, text): one text for each set that has anything to meet."""
-    want = member.join(sets, "sid").select("sid", F.col("lo").alias("doc_id"))
+def _texts(docs: DataFrame, lows: DataFrame, member: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """(sid, text): a text for each set that has anything to meet (again for repeated rows)."""
+    want = scratch.write(member.join(lows, "sid").select("sid", F.col("lo").alias("want")), "want")
+    if want.count() <= FEW:
+        want = F.broadcast(want)
 
     def own(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        told: set[int] = set()
         for b in batches:  # a repeated doc_id may stand for different texts
-            s = [shingles(t, width) for t in b["text"]]
-            sid = [int((mix64(x + np.uint64(13)).sum(dtype=np.uint64) ^ np.uint64(len(x))).view(np.int64)) for x in s]
-            yield b.loc[np.array(sid, dtype=np.int64) == b["sid"].to_numpy(), ["sid", "text"]]
-
-    docs = docs.withColumnRenamed("doc_id", "id")
-    return scratch.write(want.join(docs, F.col("doc_id").eqNullSafe(F.col("id"))).select("sid", "text").mapInPandas(own, "sid long, text string"), "texts").dropDuplicates(["sid"])
+            keep = []
+            for sid, text in zip(b["sid"].tolist(), b["text"]):
+                keep.append(sid not in told and set_id(shingles(text, width)) == sid)
+                if keep[-1]:
+                    told.add(sid)
+            yield b.loc[np.array(keep, bool), ["sid", "text"]]
+
+    return scratch.write(docs.join(want, F.col("doc_id").eqNullSafe(F.col("want"))).select("sid", "text").mapInPandas(own, "sid long, text string"), "texts")
 
 
 def _block_pairs(meet: DataFrame, scratch: Scratch) -> DataFrame:
