@@ -1,10 +1,10 @@
 """Sharding by longest-processing-time scheduling of groups that must stay together.
 
 Law ``bytes``: the sum of sizes of each shard is near equal. Groups (equal texts) go, largest first, to
-the least-loaded shard through a heap. At scale this runs in levels: groups of at least 1/4096 of all
+the least-loaded shard through a heap. At scale this runs in levels: groups of at least 4/LAST of all
 bytes are items by themselves; all others are dealt by hash into buckets of bounded length, each bucket
-is scheduled onto ``shards`` bins, and its bins are the next level's items. The last level holds a few
-thousand items whatever the input.
+is scheduled onto ``shards`` bins, and its bins are the next level's items. The last level holds LAST
+items at most, or 8 for each shard, whatever the input.
 """
 
 from __future__ import annotations
@@ -48,21 +48,22 @@ def schedule(items: DataFrame, shards: int, scratch: Scratch) -> DataFrame:
     """(item, shard) of items (item string unique, size long)."""
     now = scratch.write(items.select("item", F.col("size").cast("long").alias("size")), "items")
     maps: list[DataFrame] = []
+    last, bucket = max(LAST, 8 * shards), max(BUCKET, 4 * shards)  # a level has less than half the rows of the one before, plus last / 2
     while True:
         n, total = now.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-        if n <= LAST:
+        if n <= last:
             break
-        large = F.col("size") * 4096 >= F.lit(total)
-        k = -(-n // BUCKET)
+        large = F.col("size") * (last // 4) >= F.lit(total)
+        k = -(-n // bucket)
         rest = now.where(~large).withColumn("bucket", F.concat(F.lit(f"{len(maps)}:"), F.pmod(F.xxhash64("item"), F.lit(k)).cast("string")))
         binned = rest.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_bins(shards), "item string, bin string, size long")
         own = now.where(large).select("item", F.col("item").alias("bin"), "size")
         level = scratch.write(binned.union(own), "level")
         maps.append(level.select("item", "bin"))
         now = scratch.write(level.groupBy(F.col("bin").alias("item")).agg(F.sum("size").alias("size")), "items")
-    rows = now.collect()  # at most LAST rows, by the loop's condition
-    last = longest_first([r["size"] for r in rows], [r["item"] for r in rows], shards)
-    out = scratch.spark.createDataFrame([(r["item"], s) for r, s in zip(rows, last)], "item string, shard int")
+    rows = now.collect()  # at most ``last`` rows, by the loop's condition
+    placed = longest_first([r["size"] for r in rows], [r["item"] for r in rows], shards)
+    out = scratch.spark.createDataFrame([(r["item"], s) for r, s in zip(rows, placed)], "item string, shard int")
     for level in reversed(maps):
         out = level.join(out.withColumnRenamed("item", "bin"), "bin").select("item", "shard")
     return scratch.write(out, "shards")
