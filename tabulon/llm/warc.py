@@ -30,6 +30,7 @@ from tabulon.llm.common import Scratch, ship
 MAGIC = b"\x1f\x8b\x08"
 CHUNK = 1 << 20
 RANGE = 8 << 20
+MOST_TASKS = 100_000
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -141,9 +142,11 @@ def read_warc(spark: SparkSession, files: DataFrame, span: int = RANGE) -> DataF
     """Records of files (path, bytes): page_id, payload_bytes, payload_digest, record_type, refers_to, url, path, offset, payload.
 
     A revisit's payload is null; length and digest are those its headers state. A response whose payload
-    doesn't have the stated digest raises an error.
+    doesn't have the stated digest raises an error. There are as many partitions as ranges, ``MOST_TASKS``
+    at most: their rows are small, so adaptive execution would put all of them into a few tasks.
     """
     ship(spark)
+    count = files.agg(F.coalesce(F.sum(F.greatest(F.ceil(F.col("bytes") / span), F.lit(1))), F.lit(1))).first()[0]
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "path", "offset", "payload"]
@@ -179,7 +182,7 @@ def read_warc(spark: SparkSession, files: DataFrame, span: int = RANGE) -> DataF
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(span).cast("long")))
     ranges = files.select("path", "bytes", starts.alias("start")).select("path", "start", F.least(F.col("start") + span, "bytes").alias("end"))
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, path string, offset long, payload binary"
-    return ranges.repartition("path", "start").mapInPandas(run, schema)
+    return ranges.repartition(min(int(count), MOST_TASKS), "path", "start").mapInPandas(run, schema)
 
 
 def archive_pages(pages: DataFrame, least: int = 0) -> DataFrame:
