@@ -55,10 +55,21 @@ def bpe(path: str, pattern: str) -> Callable[[Column], Column]:
 TOKENIZERS: dict[str, Callable[[Column], Column]] = {"words-1": words, "bytes-1": utf8_bytes}
 
 
+def counted(docs: DataFrame, tokenizers: dict[str, Callable[[Column], Column]] = TOKENIZERS) -> DataFrame:
+    """docs without their texts, but with ``counts``: tokenizer and n for each tokenizer."""
+    each = (F.struct(F.lit(k).alias("tokenizer"), f(F.col("text")).alias("n")) for k, f in tokenizers.items())
+    return docs.select(*(c for c in docs.columns if c != "text"), F.array(*each).alias("counts"))
+
+
+def signed_counts(counts: DataFrame, sign: int) -> DataFrame:
+    """A change row (KEYS, docs, tokens) for each of ``counted``'s documents and tokenizers; sign 1 inserts, -1 deletes."""
+    rows = counts.select("source", "lang", F.explode("counts").alias("c"))
+    return rows.select("source", "lang", "c.tokenizer", F.lit(sign).cast("long").alias("docs"), (F.col("c.n") * sign).alias("tokens"))
+
+
 def signed(docs: DataFrame, sign: int, tokenizers: dict[str, Callable[[Column], Column]] = TOKENIZERS) -> DataFrame:
-    """A change row (KEYS, docs, tokens) for each document and tokenizer; sign 1 inserts, -1 deletes."""
-    counts = docs.select("source", "lang", F.array(*(F.struct(F.lit(k).alias("tokenizer"), f(F.col("text")).alias("n")) for k, f in tokenizers.items())).alias("c"))
-    return counts.select("source", "lang", F.explode("c").alias("c")).select("source", "lang", "c.tokenizer", F.lit(sign).cast("long").alias("docs"), (F.col("c.n") * sign).alias("tokens"))
+    """Change rows (KEYS, docs, tokens) of documents (text, lang, source)."""
+    return signed_counts(counted(docs.select("text", "lang", "source"), tokenizers), sign)
 
 
 def revised(changes: DataFrame) -> DataFrame:
@@ -117,8 +128,9 @@ def maintained_counts(docs: DataFrame, removed: DataFrame, tokenizers: dict[str,
     scratch = Scratch(docs.sparkSession, "tokens")
     rollup = TokenRollup(docs.sparkSession, scratch.path("rollup"))
     docs = docs.select("doc_id", "text", "lang", "source")
-    gone = docs.join(removed.select("doc_id").distinct(), "doc_id", "left_semi")
+    # Texts are counted before the join, so it moves numbers only; an inner join, as a semi join would be pushed below the counting.
+    gone = counted(docs, tokenizers).join(removed.select("doc_id").distinct(), "doc_id")
     rollup.commit("load", signed(docs, 1, tokenizers))
-    rollup.commit("removals", signed(gone, -1, tokenizers))
+    rollup.commit("removals", signed_counts(gone, -1))
     rollup.commit("load", signed(docs, 1, tokenizers))
     return rollup.totals()
