@@ -63,7 +63,7 @@ def counted(docs: DataFrame, tokenizers: dict[str, Callable[[Column], Column]] =
 
 def signed_counts(counts: DataFrame, sign: int) -> DataFrame:
     """A change row (KEYS, docs, tokens) for each of ``counted``'s documents and tokenizers; sign 1 inserts, -1 deletes."""
-    rows = counts.select("source", "lang", F.explode("counts").alias("c"))
+    rows = counts.select("source", "lang", F.explode_outer("counts").alias("c"))  # never empty; explode adds a filter that counts all texts again
     return rows.select("source", "lang", "c.tokenizer", F.lit(sign).cast("long").alias("docs"), (F.col("c.n") * sign).alias("tokens"))
 
 
