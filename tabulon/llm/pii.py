@@ -273,10 +273,16 @@ def _labelled(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def train_tagger(docs: DataFrame, sample: int = SAMPLE, seed: int = 6) -> Tagger:
-    """A tagger trained on at most ``sample`` windows of docs and as many with disguised instances."""
+    """A tagger trained on at most ``sample`` windows of docs and as many with disguised instances.
+
+    Windows are hashed to ``sample`` buckets and each bucket keeps its least, so tasks combine before the
+    shuffle, copies of a window count once and the driver gets ``sample`` rows at most, whatever the input.
+    """
     r = random.Random(seed)
     hit = docs.where("text IS NOT NULL").select("text").where(F.col("text").rlike("[0-9@]"))
-    rows = hit.mapInPandas(_labelled, "text string, tags array<int>").orderBy(F.xxhash64("text"), "text").limit(sample).collect()
+    windows = hit.mapInPandas(_labelled, "text string, tags array<int>").withColumn("h", F.xxhash64("text"))
+    kept = windows.groupBy(F.pmod("h", F.lit(sample)).alias("bucket")).agg(F.min(F.struct("h", "text", "tags")).alias("w")).select("w.*")
+    rows = sorted(kept.collect(), key=lambda x: (x["h"], x["text"]))
     c, y = [], []
     texts = [(x["text"], np.array(x["tags"])) for x in rows] or [("", np.zeros(WINDOW, np.int64))]
     for text, tags in texts:
