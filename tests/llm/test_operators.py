@@ -333,6 +333,14 @@ def test_links_of_vectors_equal_brute_force(spark):
     assert near_vectors(df.limit(0)).count() == 0
 
 
+def test_copies_link_across_batches_with_and_without_null_labels(spark):
+    v, other = [1.0, 2.0, 3.0], [-3.0, 1.0, 0.5]
+    parts = [[(1, v, 3), (2, other, None)], [(3, v, 3), (4, v, 4)], [(5, v, 3), (6, v, None)]]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(parts, 3).flatMap(lambda x: x), "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors(df).collect()}
+    assert got == {1: (2, 1, True), 2: (0, 2, True), 3: (2, 1, False), 4: (0, 4, True), 5: (2, 1, False), 6: (0, 6, True)}
+
+
 # URLs
 def test_url_rules_and_aliases(spark):
     page = lambda i, url, html="": (i, url, html)
