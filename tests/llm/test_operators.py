@@ -230,6 +230,30 @@ def test_leaks_equal_brute_force(spark, odd_docs):
     assert decontamination.find_leaks(empty(spark), bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("apart", [False, True])
+def test_paraphrases_with_the_answer_kept_are_all_found(spark, apart):
+    r = random.Random(6)
+    vocabulary = [words(r, 1) + words(r, 1) for _ in range(3000)]
+    text = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = [(i, text(r.randrange(12, 60)), text(r.randrange(1, 6))) for i in range(24)]
+    docs, want = [], set()
+    for i in range(240):
+        t = text(r.randrange(20, 300))
+        if i % 2 == 0:
+            j, lost, out = i // 2 % 24, (0, 0.25, 0.35, 0.45, 0.5)[i // 48], i // 2 % 2
+            copy, tail = list(items[j][1]), 0 if apart else 5
+            gone = set(r.sample(range(len(copy) - tail), int(lost * (len(copy) - tail))))
+            copy = [r.choice(vocabulary) if k in gone else w for k, w in enumerate(copy) if not (out and k in gone)]
+            at = r.randrange(len(t))
+            t = t[:at] + copy + (items[j][2] if apart else []) + t[at:]
+            want.add((i, j))
+        docs.append((i, " ".join(t), "en", "s"))
+    rows = [(i, " ".join(w), " ".join(a) if apart else None) for i, w, a in items]
+    bench = spark.createDataFrame(rows, "item_id long, text string, answer string")
+    got = {(x.doc_id, x.item_id) for x in decontamination.find_leaks(spark.createDataFrame(docs, DOCS), bench).collect()}
+    assert got == want
+
+
 def test_words_and_subsequence():
     ids, sizes = decontamination.split_words(["Hello, hello WORLD", None, "é-É", "x" * 10])
     assert sizes.tolist() == [3, 0, 2, 1] and ids[0] == ids[1] and ids[3] == ids[4]
