@@ -6,6 +6,11 @@ since the method is house monotone, the first k/shards of the seats are shard k'
 source gives is a seeded permutation of its block numbers, passed up to ``most`` times. Prefix sums of
 sizes run in hash buckets, so a source with a third of all rows is spread over 256 of them.
 
+Whole documents are mixed by the same order: all of them as often as the target holds the source, and once
+more the first ones up to the rest of the target. The document on that cut is in if more than half of it is,
+and what this leaves over or short is made up by its neighbours, until the one on the cut isn't larger than
+the source's mean or ``ROUNDS`` are over. Words miss the target by half of the last one then.
+
 The driver plans over one row for each source: a mixture names its sources, and more than
 ``MOST_SOURCES`` raise an error rather than being cut.
 """
@@ -26,6 +31,7 @@ from tabulon.llm.common import Scratch
 BLOCK = 16
 BUCKETS = 256
 MOST_SOURCES = 100_000
+ROUNDS = 6
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -86,15 +92,50 @@ def plan(sizes: dict, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, shard
     return out
 
 
-def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, shards: int = 8, seed: int = 7, by_shard: bool = False) -> DataFrame:
-    """(doc_id, text_hash, size, source_size, target, taken, copies) for each row of docs (doc_id, text, source).
+class Cut:
+    """Where the last pass over a source's whole documents ends, rest words from the first; settled ones are apart from the order."""
 
-    size counts the words of the text (null: 0). A null source is a source, the last. taken counts the
-    words of the document that the mix holds, repeats included, at most ``most`` times its size;
-    copies says how often the block of its first word is given, for mixing whole documents; ``by_shard``
-    adds shard_words, taken by shard. Rows without words take nothing. text_hash is the text's xxhash64. Equal rows stand next to each
-    other in their source's order, and take what falls on them. Reruns agree. No rows give none.
-    """
+    def __init__(self, rest: float, mean: float):
+        self.rest, self.mean, self.settled, self.open = rest, mean, {}, True
+
+    def place(self) -> float:
+        """The cut in words of the whole order: what settled ones give is taken off, and those before it are passed over."""
+        at = self.rest - sum(size for size, given in self.settled.values() if given)
+        for start in sorted(self.settled):
+            if at >= start:
+                at += self.settled[start][0]
+        return at
+
+    def settle(self, start: int, end: int) -> None:
+        if end - start <= self.mean:
+            self.open = False
+        else:
+            self.settled[start] = end - start, (start + end) / 2 < self.place()
+
+
+def _cut_whole(at: DataFrame, planned: list[tuple]) -> DataFrame:
+    """(of, full, cut, given, kept_out): passes over all documents of a source, the cut of the last one, starts of settled ones."""
+    full = {r[0]: int(r[2] // r[1]) if r[1] else 0 for r in planned}
+    cuts = {r[0]: Cut(r[2] - full[r[0]] * r[1], r[4]) for r in planned}
+    frame = lambda rows, schema: at.sparkSession.createDataFrame(rows, schema)
+    for _ in range(ROUNDS):
+        left = [(s, float(c.place())) for s, c in cuts.items() if c.open]
+        if not left:
+            break
+        here = at.join(F.broadcast(frame(left, "of string, cut double")), F.col("src").eqNullSafe(F.col("of")))
+        found = here.where((F.col("from") < F.col("cut")) & (F.col("to") > F.col("cut"))).select("src", "from", "to").distinct().collect()
+        for s, _ in left:
+            cuts[s].open = False
+        for r in found:
+            cuts[r[0]].open = True
+            cuts[r[0]].settle(r[1], r[2])
+    side = lambda c, given: [k for k, x in c.settled.items() if x[1] == given]
+    rows = [(s, full[s], float(c.place()), side(c, True), side(c, False)) for s, c in cuts.items()]
+    return frame(rows, "of string, full int, cut double, given array<long>, kept_out array<long>")
+
+
+def _mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, shards: int = 8, seed: int = 7, by_shard: bool = False) -> DataFrame:
+    """The columns of ``mix_documents`` and src."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     rows = docs.select(
@@ -102,12 +143,14 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: i
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     ).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text_hash")).withColumn("b", F.pmod("h", F.lit(BUCKETS)).cast("int"))
     rows = scratch.write(rows, "rows")
-    parts = scratch.write(rows.groupBy("src", "b").agg(F.sum("size").alias("n")), "parts")
-    found = parts.groupBy("src").agg(F.sum("n").alias("n")).limit(MOST_SOURCES + 1).collect()
+    parts = scratch.write(rows.groupBy("src", "b").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")), "parts")
+    found = parts.groupBy("src").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")).limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources: name fewer before mixing them")
+    rows_of = {r["src"]: r["rows"] for r in found}
+    plans = plan({r["src"]: r["n"] for r in found}, weights, most, shards, seed)
     planned = spark.createDataFrame(
-        plan({r["src"]: r["n"] for r in found}, weights, most, shards, seed),
+        plans,
         "of string, source_size long, target double, blocks long, quotas array<long>, a long, c long",
     )
     up = Window.partitionBy("src").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
@@ -115,9 +158,18 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: i
     parts = parts.join(F.broadcast(planned), F.col("src").eqNullSafe(F.col("of"))).drop("of")
     parts = scratch.write(parts, "starts").select(F.col("src").alias("s"), F.col("b").alias("k"), "base", "source_size", "target", "blocks", "quotas", "a", "c")
     inner = Window.partitionBy("src", "b").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    at = rows.withColumn("before", F.coalesce(F.sum("size").over(inner), F.lit(0)))
+    equal = Window.partitionBy("src", "b").orderBy("h", "doc_id")
+    at = rows.withColumns({
+        "before": F.coalesce(F.sum("size").over(inner), F.lit(0)),
+        "upto": F.sum("size").over(equal.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
+        "alike": F.sum("size").over(equal.rangeBetween(Window.currentRow, Window.currentRow)),
+    })
     at = at.join(parts, F.col("src").eqNullSafe(F.col("s")) & (F.col("b") == F.col("k")))
     at = at.withColumn("start", F.col("base") + F.col("before")).withColumn("end", F.col("start") + F.col("size"))
+    at = at.withColumn("to", F.col("base") + F.col("upto")).withColumn("from", F.col("to") - F.col("alike"))  # of equal rows together
+    at = scratch.write(at.drop("s", "k", "before", "upto", "alike", "base"), "at")
+    cuts = _cut_whole(at, [(r[0], r[1], r[2], r[3], r[1] / rows_of[r[0]]) for r in plans])
+    at = at.join(F.broadcast(cuts), F.col("src").eqNullSafe(F.col("of"))).drop("of")
     quota = F.aggregate("quotas", F.lit(0).cast("long"), lambda x, y: x + y)
     at = at.withColumn("quota", quota)
 
@@ -132,9 +184,10 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: i
     given = lambda s, q: s["words"] * (F.floor(q / F.col("blocks")) + F.when(s["turn"] < F.pmod(q, F.col("blocks")), 1).otherwise(0))
     upto = lambda q: F.aggregate("spans", F.lit(0).cast("long"), lambda x, s: x + given(s, q))
     taken = F.when(F.col("size") > 0, upto(F.col("quota"))).otherwise(F.lit(0)).cast("long")
-    first = F.element_at("spans", 1)["turn"] < F.pmod("quota", "blocks")
-    copies = F.when(F.col("size") > 0, F.floor(F.col("quota") / F.col("blocks")) + F.when(first, 1).otherwise(0)).otherwise(F.lit(0)).cast("int")
-    out = at.select("doc_id", "text_hash", "size", "source_size", "target", taken.alias("taken"), copies.alias("copies"), *(["spans", "quotas", "blocks"] if by_shard else []))
+    inside = (F.col("from") + F.col("to")) / 2 < F.col("cut")
+    again = F.when(F.array_contains("given", F.col("from")), 1).when(F.array_contains("kept_out", F.col("from")), 0).otherwise(inside.cast("int"))
+    copies = F.when(F.col("size") > 0, F.col("full") + again).otherwise(0).cast("int")
+    out = at.select("src", "doc_id", "text_hash", "size", "source_size", "target", taken.alias("taken"), copies.alias("copies"), *(["spans", "quotas", "blocks"] if by_shard else []))
     if not by_shard:
         return out
     first = lambda k: F.aggregate(F.slice("quotas", 1, k), F.lit(0).cast("long"), lambda x, y: x + y)
@@ -142,10 +195,24 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: i
     return out.withColumn("shard_words", F.when(F.col("size") > 0, words)).drop("spans", "quotas", "blocks")
 
 
+def mix_documents(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, text_hash, size, source_size, target, taken, copies) for each row of docs (doc_id, text, source).
+
+    size counts the words of the text (null: 0). A null source is a source, the last. taken counts the
+    words of the document that the mix holds, repeats included, at most ``most`` times its size;
+    copies says how often the document is in a mix of whole ones, whose words by source meet the target
+    up to a part of a document; ``by_shard`` adds shard_words, taken by shard. Rows without words take
+    nothing. text_hash is the text's xxhash64. Equal rows stand next to each other in their source's
+    order, take what falls on them, and have equal copies. Reruns agree. No rows give none.
+    """
+    return _mix(docs, **options).drop("src")
+
+
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs as often as the mixture holds them whole (``copies``); those it doesn't hold go."""
     scratch = Scratch(docs.sparkSession, "mixed")
-    plan_ = mix_documents(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("copies").alias("_copies"))
-    plan_ = scratch.write(plan_.dropDuplicates(["_id", "_hash"]), "plan")
-    rows = docs.join(plan_, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
-    return rows.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    key = [F.col("src").alias("_source"), F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")]
+    plan_ = _mix(docs, **options).where("copies > 0").select(*key, F.col("copies").alias("_copies"))
+    plan_ = scratch.write(plan_.dropDuplicates(["_source", "_id", "_hash"]), "plan")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")) & F.col("source").cast("string").eqNullSafe(F.col("_source"))
+    return docs.join(plan_, same).withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

@@ -204,6 +204,19 @@ def test_mixture_meets_targets(spark, odd_docs):
     assert mixing.mix_documents(empty(spark)).count() == 0
 
 
+def test_mixed_rows_meet_targets_with_whole_documents(spark):
+    r = random.Random(8)
+    rows = [(i, words(r, 4000 if i % 100 == 7 else r.randrange(1, 80)), "en", ["a", "a", "a", "b", "c", None][i % 6]) for i in range(600)]
+    rows += [(1, "twice here", "en", "a"), (1, "twice here", "en", "a"), (1, "twice here", "en", "b")]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = mixing.mixed(docs).groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()
+    sizes = {s: sum(len(x[1].split()) for x in rows if x[3] == s) for s in ("a", "b", "c", None)}
+    want = dict(zip(sizes, mixing.targets(list(sizes.values()), [1, 2, 3, 1])))
+    assert all(abs(x.n - want[x.source]) <= 80 for x in got) and len(got) == 4
+    copies = mixing.mix_documents(docs).where("doc_id = 1 AND size = 2").groupBy("source_size").agg(F.count_distinct("copies")).collect()
+    assert [x[1] for x in copies] == [1, 1]
+
+
 # Decontamination
 def test_leaks_equal_brute_force(spark, odd_docs):
     r = random.Random(4)
