@@ -79,6 +79,36 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_PRIME = 0x9E3779B97F4A7C15
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2**64 and their inverses, n at least."""
+    if not _powers or len(_powers[0][0]) < n:
+        size = max(n, 1 << 20)
+        up, down = np.full(size, _PRIME, np.uint64), np.full(size, pow(_PRIME, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        _powers[:] = [(np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))]
+    return _powers[0]
+
+
+def hash_words(parts: list[bytes], values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit ids of all words of the parts in order, and how many each part has; a polynomial hash by prefix sums.
+
+    values: a number for each byte, 0 for those between words, the blank among them.
+    """
+    data = np.frombuffer(b" ".join([*parts, b""]), np.uint8)
+    value = values[data]
+    edge = np.diff(np.concatenate([np.zeros(1, np.int8), (value != 0).view(np.int8)]))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    up, down = powers(len(data) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * up[: len(data)], dtype=np.uint64)])
+    ids = mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    ends = np.cumsum([len(p) + 1 for p in parts])
+    return ids, np.bincount(np.searchsorted(ends, start, side="right"), minlength=len(parts))[: len(parts)]
+
+
 def runs(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Groups of consecutive rows with equal keys, of a partition sorted by them; holds one group at a time."""
     held: list[pd.DataFrame] = []

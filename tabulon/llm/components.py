@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tabulon.llm.common import Scratch
@@ -17,19 +17,22 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     shuffle. Null ends and loops are dropped. No edges give no rows.
     """
     e = edges.select("u", "v").where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    e = scratch.write(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
+    both = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))  # one pass over what edges come from
+    e = scratch.write(e.select(both.alias("e")).select("e.*").distinct(), "edges")
     labels = scratch.write(e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("comp")), "labels")
-    while True:
+    moved = not labels.isEmpty()
+    while moved:
         near = (
             e.join(labels.select(F.col("node").alias("v"), "comp"), "v")
             .groupBy(F.col("u").alias("node")).agg(F.min("comp").alias("m"))
         )
         hooked = scratch.write(labels.join(near, "node").select("node", "comp", F.least("comp", "m").alias("low")), "hooked")
         jump = hooked.select(F.col("node").alias("low"), F.col("low").alias("lower"))
-        new = scratch.write(hooked.join(jump, "low").select("node", F.least("low", "lower").alias("comp"), (F.least("low", "lower") != F.col("comp")).alias("moved")), "labels")
-        moved = new.where("moved").limit(1).count()
+        lowest, seen = F.least("low", "lower"), Observation()
+        new = hooked.join(jump, "low").observe(seen, F.count_if(lowest != F.col("comp")).alias("moved"))
+        new = scratch.write(new.select("node", lowest.alias("comp")), "labels")
+        moved = seen.get["moved"] > 0
         scratch.drop(labels, hooked)
         labels = new
-        if not moved:
-            scratch.drop(e)
-            return labels.select("node", "comp")
+    scratch.drop(e)
+    return labels

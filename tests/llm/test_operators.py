@@ -127,8 +127,15 @@ def test_shards_keep_groups_and_balance(spark, odd_docs, monkeypatch):
 
 
 # Jaccard join
+def tuple_sets(texts, width):
+    """Shingles as tuples of words, by the contract's own words."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    found = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower)) for t in texts]
+    return [{tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set() for w in found]
+
+
 def brute(texts, width, num, den):
-    sets = [jaccard_join.shingles(t, width) for t in texts]
+    sets = tuple_sets(texts, width)
     root = list(range(len(sets)))
 
     def find(i):
@@ -138,36 +145,75 @@ def brute(texts, width, num, den):
 
     for i, a in enumerate(sets):
         for j in range(i):
-            both = len(np.intersect1d(a, sets[j]))
-            if both and den * both >= num * (len(a) + len(sets[j]) - both):
+            both = len(a & sets[j])
+            if both and den * both >= num * len(a | sets[j]):
                 x, y = sorted((find(i), find(j)))
                 root[y] = x
     return [find(i) for i in range(len(sets))]
 
 
-@pytest.mark.parametrize(("width", "num", "den"), [(3, 90, 100), (5, 8, 10)])
-def test_components_equal_brute_force(spark, monkeypatch, width, num, den):
-    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
-    r, texts = random.Random(width), []
+def near_texts(seed):
+    r, texts = random.Random(seed), []
     shared = words(r, 60)
     for _ in range(12):
         base = words(r, r.choice([1, 2, 4, 9, 30, 120, 400])).split()
-        for _ in range(r.choice([1, 3, 12])):
+        for _ in range(r.choice([1, 3, 12, 40])):
             w = list(base)
             for _ in range(r.randrange(1 + max(1, len(w) // 25))):
                 w[r.randrange(len(w))] = words(r, 1)
             texts.append(" ".join(w) + (" " + shared if r.random() < 0.3 else ""))
+    return [*texts, "A b\x0bC\tÉ é", "a B c É É", "a\x1cb c", "x\u00a0y \u2003 z"]
+
+
+@pytest.mark.parametrize(("width", "num", "den", "block", "bits"), [(3, 90, 100, 8, 64), (5, 8, 10, 8, 5), (5, 8, 10, 2048, 64), (2, 1, 2, 5, 64)])
+def test_components_equal_brute_force(spark, monkeypatch, width, num, den, block, bits):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "ID_BITS", bits)  # few bits: most sets share an identity and get new ones
+    monkeypatch.setattr(jaccard_join, "FEW", 50 if block == 5 else 500_000)
+    texts = near_texts(width)
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], DOCS).repartition(3)
+    got = {x.doc_id: x for x in jaccard_join.jaccard_components(docs, width, num, den).collect()}
+    assert [got[i].component_id for i in range(len(texts))] == brute(texts, width, num, den)
+    assert [got[i].n_shingles for i in range(len(texts))] == [len(s) for s in tuple_sets(texts, width)]
+
+
+def test_frequent_elements_give_the_same_components(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LOOK", 1)
+    r = random.Random(9)
+    base = words(r, 60).split()
+    texts = [" ".join(base[:k] + [words(r, 1)] + base[k + 1 :]) for k in range(60)] + [words(r, 60) for _ in range(20)]
     docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], DOCS)
-    got = {x.doc_id: x.component_id for x in jaccard_join.jaccard_components(docs, width, num, den).collect()}
-    assert [got[i] for i in range(len(texts))] == brute(texts, width, num, den)
+    got = {x.doc_id: x.component_id for x in jaccard_join.jaccard_components(docs, 5, 8, 10).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, 5, 8, 10)
+
+
+def test_divide_skip_equals_counting():
+    r = np.random.default_rng(4)
+    sets = [np.unique(r.integers(0, 60, r.integers(1, 40))) for _ in range(50)]
+    lists = jaccard_join.Lists(np.concatenate(sets), np.array([len(s) for s in sets]))
+    for i, t in ((i, t) for i in range(50) for t in (-2, 1, 3, 9, 20)):
+        among = np.arange(50) != i
+        found, shared = lists.search(i, t, among)
+        want = {j: len(np.intersect1d(sets[i], sets[j])) for j in range(50) if j != i}
+        assert dict(zip(found.tolist(), shared.tolist())) == {j: n for j, n in want.items() if n >= t}
 
 
 def test_join_of_odd_rows(spark, odd_docs):
     got = sorted(((r.doc_id or 0), r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(odd_docs).collect())
     assert [x for x in got if x[0] in (1, 2, 3)] == [(1, 0, 1), (2, 0, 2), (3, 0, 3)]
     assert [x[2] for x in got if x[0] in (4, 5)] == [4, 4] and [x[1:] for x in got if x[0] == 6] == [(1, 6), (1, 6)]
-    assert sorted((r.doc_id or 0) for r in jaccard_join.one_of_each(odd_docs).collect()) == [0, 1, 2, 3, 4, 6, 7]
-    assert jaccard_join.jaccard_components(empty(spark)).count() == 0
+    clash = odd_docs.withColumns({"id": F.lit(1), "hash": F.lit(2), "comp": F.lit(3), "_id": F.lit(4), "HASH_": F.lit(5)})
+    kept = jaccard_join.one_of_each(clash)
+    assert kept.columns == clash.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 3, 4, 6, 7]
+    assert jaccard_join.jaccard_components(empty(spark)).count() == 0 and jaccard_join.one_of_each(empty(spark)).count() == 0
+
+
+def test_one_of_each_tells_texts_of_one_id_apart(spark):
+    r = random.Random(2)
+    a, b = words(r, 50), words(r, 50)
+    docs = spark.createDataFrame([(1, a, "en", "s"), (1, b, "en", "s"), (2, a + " end", "en", "s"), (3, b, "en", "s"), (1, a + " more", "en", "s")], DOCS)
+    got = [(x.doc_id, x.text.split()[0]) for x in jaccard_join.one_of_each(docs).collect()]
+    assert sorted(got) == sorted([(1, a.split()[0]), (1, b.split()[0])])
 
 
 def test_components_of_chains_and_hubs(spark):
@@ -176,6 +222,12 @@ def test_components_of_chains_and_hubs(spark):
     assert got == {**{i: 100 for i in range(100, 161)}, **{500 + i: 500 for i in range(80)}}
 
 
+def test_components_of_nothing(spark):
+    none = spark.createDataFrame([(None, 3), (7, 7)], "u long, v long")
+    assert connected_components(none, Scratch(spark, "t")).count() == 0
+    assert connected_components(none.limit(0), Scratch(spark, "t")).count() == 0
+
+
 # Mixing
 def test_targets_and_quotas():
     assert mixing.targets([10, 100, 100], [1, 1, 1]) == [Fraction(30), Fraction(90), Fraction(90)]
