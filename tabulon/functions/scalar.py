@@ -10,24 +10,79 @@ UNIT_WORDS = (
     ("%", ("%", "百分比", "比率", "佔比", "占比", "成長率", "增率", "rate", "ratio", "share")),
     ("美元", ("美元", "us$", "usd", "expenditure")),
     ("夜", ("夜", "night")),
-    ("人次", ("人次", "人數", "旅客", "遊客", "visitor", "arrival", "departure", "person")),
+    ("人次", ("人次", "人數", "旅客", "遊客", "visitor", "arrival", "departure", "persons", "person")),
     ("元", ("元", "金額", "amount")),
 )
 ROLE_WORDS = (
     ("total", ("總計", "grand total")),
-    ("subtotal", ("小計", "sub-total", "subtotal")),
+    ("subtotal", ("小計", "sub-total", "sub total", "subtotal")),
     ("total", ("合計", "total")),
-    ("residual", ("其他", "其它", "未列明", "other", "others", "unstated")),
+    ("residual", ("其他", "其它", "未列明", "others", "unstated", "other")),
 )
+PERCENT_UNITS = ("%", "percent", "百分比")
 UNIT_FACTORS = (("張", 1.0), ("萬張", 1e4), ("元", 1.0), ("千元", 1e3), ("百萬元", 1e6), ("億元", 1e8), ("%", 0.01))
 
 
+# Patterns of years and of table numbers in names.
+AD_YEAR, ROC_YEAR = r"(1[89]\d\d|2[01]\d\d)\s*年?\s*$", r"^\s*(?:民國)?\s*(\d{1,3})\s*年\s*$"
+TABLE_NUMBER, ALL_YEARS = r"^表?\s*\d+[-–]\d+[-–]?\s*", r"^歷年\s*"
+FIRST_YEAR, LAST_YEAR, ROC = 1900, 2100, 1911
+
+
 def year(text: Column) -> Column:
     """Year of a period cell: an AD year at the end, else a ROC year; null if it isn't surely one."""
-    ad = F.regexp_extract(text, r"(1[89]\d\d|2[01]\d\d)\s*年?\s*$", 1).try_cast("int")
-    roc = F.regexp_extract(text, r"^\s*(?:民國)?\s*(\d{1,3})\s*年\s*$", 1).try_cast("int") + 1911
-    return F.coalesce(ad, roc)
+    ad = F.regexp_extract(text, AD_YEAR, 1).try_cast("int")
+    roc = F.regexp_extract(text, ROC_YEAR, 1).try_cast("int") + ROC
+    return F.coalesce(ad, F.when(roc.between(FIRST_YEAR, LAST_YEAR), roc))
+
+
+def year_of(text: Column, number: Column) -> Column:
+    """Year of a cell: a number from 1900 to 2100, else what its text says; null if it isn't surely one."""
+    whole = F.floor(number).try_cast("int")
+    return F.when(number.isNotNull(), F.when(whole.between(FIRST_YEAR, LAST_YEAR), whole)).otherwise(year(text))
+
+
+def period_code(text: Column, number: Column) -> Column:
+    """Struct of year and month (yyyymm, null for a plain year) of a code: yyyymm, ROC yyymm or a year; null for anything else."""
+    n = F.coalesce(F.when(number == F.floor(number), number).try_cast("int"), F.when(number.isNull() & F.trim(text).rlike(r"^\d{4,6}$"), F.trim(text)).try_cast("int"))
+    month = F.when((n % 100).between(1, 12), F.when(n.between(10001, 19912), n + ROC * 100).when(n.between(190001, 210012), n))
+    plain = F.when(n.between(FIRST_YEAR, LAST_YEAR), n)
+    found = F.struct(F.coalesce(F.floor(month / 100).cast("int"), plain).alias("year"), month.alias("month"))
+    return F.when(month.isNotNull() | plain.isNotNull(), found)
+
+
+def chinese_part(text: Column) -> Column:
+    """What stands before the first ASCII word of a bilingual header; all of it if nothing does."""
+    clean = F.trim(F.regexp_replace(text, r"\s+", " "))
+    head = F.trim(F.element_at(F.split(clean, r"(?:^|\s)[A-Za-z]", 2), 1))
+    return F.when(head != "", head).otherwise(clean)
+
 
+def concept(sheet: Column, file: Column) -> Column:
+    """What a sheet measures: its name (else the file's) without table number and 歷年, up to ``-`` or 按."""
+    raw = F.coalesce(F.nullif(sheet, F.lit("")), file)
+    raw = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, r"\.xlsx", ""), TABLE_NUMBER, ""), ALL_YEARS, ""))
+    dash, by = (F.trim(F.element_at(F.split(raw, x, 2), 1)) for x in ("-", "按"))
+    head = F.when(raw.contains("-") & (dash != ""), dash).when(raw.contains("按") & (by != ""), by).otherwise(raw)
+    return F.when(head == "", "數值").otherwise(head)
+
+
+def indel_ratio(a: Column, b: Column) -> Column:
+    """Similarity of two short texts from 0 to 100: twice their longest common subsequence over the sum of lengths.
+
+    Rows of the dynamic programme are arrays folded over the characters of ``a``: meant for names, not for documents.
+    """
+    letters_ = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
+    zero = F.transform(F.concat(F.array(F.lit("")), letters_(b)), lambda _: F.lit(0))
+
+    def next_row(row: Column, x: Column) -> Column:
+        return F.aggregate(
+            F.arrays_zip(letters_(b).alias("y"), F.slice(row, 1, F.length(b)).alias("diagonal"), F.slice(row, 2, F.length(b)).alias("up")), F.array(F.lit(0)),
+            lambda out, z: F.concat(out, F.array(F.when(z["y"] == x, z["diagonal"] + 1).otherwise(F.greatest(z["up"], F.element_at(out, -1))))),
+        )
+
+    common = F.element_at(F.aggregate(letters_(a), zero, next_row), -1)
+    return F.when((F.length(a) == 0) & (F.length(b) == 0), 100.0).otherwise(200.0 * common / (F.length(a) + F.length(b)))
 
 def roc_month(code: Column) -> Column:
     """yyyymm of a ROC yyymm or an AD yyyymm code; null for other text."""
@@ -83,11 +138,22 @@ def to_base_unit(value: Column, unit: Column) -> Column:
 def display(value: Column, unit: Column) -> Column:
     """Text of a value: percent with two places, thousands without, else two places; N/A if missing."""
     return (
-        F.when(value.isNull(), "N/A").when(unit == "%", F.concat(F.format_number(value, 2), F.lit("%")))
+        F.when(value.isNull() | F.isnan(value), "N/A").when(unit.isin(*PERCENT_UNITS), F.concat(F.format_number(value, 2), F.lit("%")))
         .when(F.abs(value) >= 1000, F.format_number(value, 0)).otherwise(F.format_number(value, 2))
     )
 
 
+def legacy_display(value: Column, unit: Column) -> Column:
+    """Text of a value in 億 from 1e8 and in 萬 from 1e4, percent with two places, N/A if missing."""
+    size = F.abs(value)
+    return (
+        F.when(value.isNull() | F.isnan(value), "N/A").when(unit == "%", F.concat(F.format_string("%.2f", value), F.lit("%")))
+        .when(size >= 1e8, F.concat(F.format_string("%.2f", value / 1e8), F.lit(" 億"), unit))
+        .when(size >= 1e4, F.concat(F.format_string("%.1f", value / 1e4), F.lit(" 萬"), unit))
+        .otherwise(F.concat(F.format_number(value, 0), F.lit(" "), unit))
+    )
+
+
 def number(text: Column) -> Column:
     """A cell as a number: thousands commas go, (1,234) is negative; null for blanks and other text."""
     bare = F.regexp_replace(F.trim(text), ",", "")

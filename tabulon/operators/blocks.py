@@ -1,6 +1,6 @@
 """The ten whitelisted blocks: DataFrame to DataFrame, or columns for the scalar ones; nothing runs here.
 
-Missing values are null (NaN is made null when tables are read). ``places`` sums decimals of that scale,
+Missing values are null, and NaN counts as missing. ``places`` sums decimals of that scale,
 which is exact whatever the order in which partial sums meet; null sums doubles.
 """
 
@@ -20,6 +20,11 @@ def require(df: DataFrame, *columns: str) -> None:
         raise BlockError(f"columns not in the table: {', '.join(missing)}")
 
 
+def present(value: Column) -> Column:
+    """The value as a double, null for NaN."""
+    return F.nanvl(value.cast("double"), F.lit(None).cast("double"))
+
+
 OPERATORS: dict[str, Callable[[Column, object], Column]] = {
     "==": lambda c, v: c == v,
     "!=": lambda c, v: F.coalesce(c != v, F.lit(True)),
@@ -63,7 +68,8 @@ def exclude_aggregates(df: DataFrame) -> DataFrame:
 
 
 def total(value: Column, places: int | None = None) -> Column:
-    """Sum that skips nulls and is 0 when all are null."""
+    """Sum that skips missing values and is 0 when all are."""
+    value = present(value)
     s = F.sum(value) if places is None else F.sum(value.cast(f"decimal(28,{places})")).cast("double")
     return F.coalesce(s, F.lit(0.0))
 
@@ -81,14 +87,14 @@ def group_sum(df: DataFrame, group_col: str = "period", value_col: str = "value"
 
 def group_mean(df: DataFrame, group_col: str = "period", value_col: str = "value", detail_only: bool = True, places: int | None = None) -> DataFrame:
     """Mean by key over values that are there; null for a group of nulls."""
-    v = F.col(value_col)
+    v = present(F.col(value_col))
     mean = F.avg(v) if places is None else F.try_divide(F.sum(v.cast(f"decimal(28,{places})")).cast("double"), F.count(v).cast("double"))
     return _grouped(df, group_col, value_col, detail_only, mean)
 
 
 def ratio(numerator: Column, denominator: Column, as_percent: bool = True) -> Column:
     """Struct of value, status and reason; a missing operand or a zero denominator is not available, with its reason."""
-    n, d = numerator.cast("double"), denominator.cast("double")
+    n, d = present(numerator), present(denominator)
     reason = F.when(n.isNull(), "numerator is missing").when(d.isNull(), "denominator is missing").when(d == 0, "denominator is zero")
     value = F.when(reason.isNull(), F.try_divide(n, d) * (100.0 if as_percent else 1.0))
     return F.struct(value.alias("value"), F.when(reason.isNull(), PASSED).otherwise(NA).alias("status"), reason.alias("reason"))
@@ -96,7 +102,7 @@ def ratio(numerator: Column, denominator: Column, as_percent: bool = True) -> Co
 
 def growth_rate(current: Column, previous: Column) -> Column:
     """Struct of the change in percent, status and reason; not available for missing values and bases of 0 or less."""
-    c, p = current.cast("double"), previous.cast("double")
+    c, p = present(current), present(previous)
     reason = F.when(c.isNull(), "current value is missing").when(p.isNull(), "base is missing").when(p == 0, "base is zero").when(p < 0, "base is negative")
     value = F.when(reason.isNull(), F.try_divide(c - p, p) * 100.0)
     return F.struct(value.alias("value"), F.when(reason.isNull(), PASSED).otherwise(NA).alias("status"), reason.alias("reason"))
@@ -113,7 +119,7 @@ def rank_top_n(df: DataFrame, value_col: str = "value", n: int = 5, ascending: b
         raise BlockError("n must be positive")
     v = F.col(value_col)
     first = v.asc() if ascending else v.desc()
-    top = df.where(v.isNotNull()).orderBy(first, *ties).limit(n)
+    top = df.where(present(v).isNotNull()).orderBy(first, *ties).limit(n)
     return top.withColumn("rank", F.rank().over(Window.orderBy(first)).cast("long"))
 
 
@@ -150,7 +156,7 @@ def cumulative_sum(df: DataFrame, value_col: str = "value", order_by: str = "per
     """
     require(df, value_col, order_by, *within, *ties)
     w = Window.partitionBy(*within).orderBy(F.col(order_by).asc_nulls_last(), *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    v = F.col(value_col)
+    v = present(F.col(value_col))
     return df.withColumn("cumulative", F.when(v.isNotNull(), F.sum(v).over(w) if places is None else F.sum(v.cast(f"decimal(28,{places})")).over(w).cast("double")))
 
 

@@ -58,18 +58,19 @@ def unique_ranking(df: DataFrame, by: list[str], ties: list[str], top: int | Non
 
 def quadrants(df: DataFrame, x: str, y: str, by: list[str], how: str = "median") -> DataFrame:
     """Each row's quadrant by whether x and y reach their group's median or mean."""
-    f = F.median if how == "median" else F.avg
-    cuts = df.groupBy(*by).agg(f(x).alias("x_cut"), f(y).alias("y_cut"))
+    f, w = F.median if how == "median" else F.avg, Window.partitionBy(*by)
+    rows = df.withColumns({"x_cut": f(x).over(w), "y_cut": f(y).over(w)})
     high_x, high_y = F.col(x) >= F.col("x_cut"), F.col(y) >= F.col("y_cut")
     name = F.when(high_x & high_y, "large_growing").when(high_x, "large_slow").when(high_y, "small_growing").otherwise("small_slow")
-    return df.join(cuts, by).withColumn("quadrant", F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), name))
+    return rows.withColumn("quadrant", F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), name))
 
 
 def minmax(df: DataFrame, by: list[str], value: str = "value") -> DataFrame:
     """Values scaled to 0..1 within each group; 0 where all are equal."""
-    ends = df.groupBy(*by).agg(F.min(value).alias("low"), F.max(value).alias("high"))
-    scaled = F.coalesce(F.try_divide(F.col(value) - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0))
-    return df.join(ends, by).withColumn("scaled", F.when(F.col(value).isNotNull(), F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0))))
+    w = Window.partitionBy(*by)
+    low, high = F.min(value).over(w), F.max(value).over(w)
+    scaled = F.coalesce(F.try_divide(F.col(value) - low, high - low), F.lit(0.0))
+    return df.withColumn("scaled", F.when(F.col(value).isNotNull(), F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0))))
 
 
 def latest_top_fields(df: DataFrame, n: int, places: int | None = None) -> DataFrame:

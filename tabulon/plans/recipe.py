@@ -9,10 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.model import FAILED, NA, PASSED, ExecutionError
-from tabulon.operators.blocks import BLOCKS, SCALAR
-from tabulon.operators.validate import sanity
+from tabulon.functions.scalar import a1
+from tabulon.operators.blocks import BLOCKS, SCALAR, exclude_aggregates, present
+from tabulon.operators.review import metric_issues
+from tabulon.operators.validate import NON_NEGATIVE, PERCENT, sanity
 
 DATASET = "dataset"
+#: Blocks that leave subtotals and totals out by default.
+DETAIL = ("group_sum", "group_mean", "pivot")
+#: Columns that a step of a planner that isn't trusted may filter on.
+ADVERTISED = ("file", "canonical", "period", "aggregation_role")
 REQUIRED = ("metric_id", "metric_name", "unit", "period", "assumption_statement", "steps", "output")
 
 
@@ -68,17 +74,67 @@ def check_fields(recipe: Recipe, known: set[str]) -> None:
                 raise ExecutionError(f"unknown field {unknown[0]!r}")
 
 
+def check_columns(recipe: Recipe, allowed: tuple[str, ...] = ADVERTISED) -> None:
+    """Raise if a filter reads a column that isn't advertised."""
+    for s in recipe.steps:
+        if s.block == "filter" and s.params.get("column") not in allowed:
+            raise ExecutionError(f"step {s.id!r} filters on {s.params.get('column')!r}, which isn't one of {', '.join(allowed)}")
+
+
+def tool_schema() -> dict:
+    """JSON schema of a recipe: what a planner may name."""
+    step = {
+        "type": "object", "required": ["id", "block"],
+        "properties": {
+            "id": {"type": "string"}, "block": {"enum": sorted(BLOCKS)}, "input": {"type": "string", "default": DATASET},
+            "inputs": {"type": "array", "items": {"type": "string"}}, "params": {"type": "object"},
+        },
+    }
+    text = {"type": "string"}
+    types = {"period": {"type": ["integer", "null"]}, "steps": {"type": "array", "items": step}}
+    return {"type": "object", "required": list(REQUIRED), "properties": {k: types.get(k, text) for k in REQUIRED} | {"is_share": {"type": "boolean"}}}
+
+
 def _one_value(df: DataFrame, name: str) -> DataFrame:
     """One row with the frame's only value, null if it is empty; more rows fail when the plan runs."""
     if "value" not in df.columns:
         raise ExecutionError(f"step {name!r} has no value column")
-    single = F.when(F.count(F.lit(1)) <= 1, F.first("value")).otherwise(F.raise_error(F.lit(f"step {name!r} gives more than one row")).cast("double"))
+    single = F.when(F.count(F.lit(1)) <= 1, F.first(present(F.col("value")))).otherwise(F.raise_error(F.lit(f"step {name!r} gives more than one row")).cast("double"))
     return df.agg(single.alias("value"))
 
 
+COORDINATES = ("file", "sheet", "canonical", "row", "col")
+#: Cells that a metric cites at most.
+CELLS = 30
+
+
+def _sources(leaves: list[DataFrame]) -> DataFrame:
+    """One row about the cells that a metric rests on: fields taken from several files, ranges and first cells.
+
+    Leaves are the last frames with coordinates on each way to the output; a field in several files counts within one leaf
+    only, since two leaves may well stand for two files.
+    """
+    rows = reduce(DataFrame.unionByName, (x.select(*COORDINATES, F.lit(i).alias("leaf")) for i, x in enumerate(leaves)))
+    mixed = rows.groupBy("leaf", "canonical").agg(F.sort_array(F.collect_set("file")).alias("files")).where(F.size("files") > 1)
+    mixed = mixed.agg(F.sort_array(F.collect_set(F.concat(F.lit("ambiguous source: "), F.coalesce("canonical", F.lit("")), F.lit(" in "), F.array_join("files", ", ")))).alias("mixed"))
+    spans = rows.groupBy("file", "sheet", "col").agg(F.min("row").alias("top"), F.max("row").alias("end")).where("col IS NOT NULL")
+    span = F.struct("file", "sheet", F.concat(a1(F.col("top"), F.col("col")), F.lit(":"), a1(F.col("end"), F.col("col"))).alias("range"))
+    spans = spans.agg(F.sort_array(F.collect_list(span)).alias("sources"))
+    cells = rows.select("file", "sheet", "row", "col").distinct().orderBy("file", "sheet", "row", "col").limit(CELLS)
+    cells = cells.agg(F.sort_array(F.collect_list(F.struct("file", "sheet", "row", "col"))).alias("c"))
+    cells = cells.select(F.transform("c", lambda x: F.concat(x["sheet"], F.lit("!"), a1(x["row"], x["col"]))).alias("cells"))
+    return mixed.join(F.broadcast(spans)).join(F.broadcast(cells))  # one row each
+
+
 def compile_recipe(recipe: Recipe, dataset: DataFrame) -> DataFrame:
-    """A row (metric_id, value, unit, status, reason); nothing runs before the caller's action."""
+    """A row METRIC; nothing runs before the caller's action.
+
+    A field that the output sums over several files makes the metric fail, whatever its value. issues lists all that is
+    wrong; sources and cells say where the numbers come from, over all ways to the output.
+    """
     frames: dict[str, DataFrame] = {DATASET: dataset}
+    leaves: dict[str, list[DataFrame]] = {DATASET: [dataset] if set(COORDINATES) <= set(dataset.columns) else []}
+    chain: dict[str, list[str]] = {DATASET: []}
     for s in recipe.steps:
         params, refs = {}, {}
         for k, v in s.params.items():
@@ -93,12 +149,37 @@ def compile_recipe(recipe: Recipe, dataset: DataFrame) -> DataFrame:
                 frames[s.id] = BLOCKS[s.block](*(frames[x] for x in s.inputs), **params, **{k: frames[r] for k, r in refs.items()})
         except TypeError as e:
             raise ExecutionError(f"step {s.id!r}: {e}") from e
+        above = [*(() if s.block in SCALAR else s.inputs), *refs.values()]
+        out = frames[s.id]
+        if set(COORDINATES) <= set(out.columns):
+            leaves[s.id] = [out]
+        else:
+            kept = [detail(x) if s.block in DETAIL and params.get("detail_only", True) else x for k in above for x in leaves[k]]
+            leaves[s.id] = list({id(x): x for x in kept}.values())
+        chain[s.id] = [*dict.fromkeys(x for k in above for x in chain[k]), f"{s.id}:{s.block}"]
     out = frames[recipe.output]
     if "status" not in out.columns:
         out = _one_value(out, recipe.output).select("value", F.lit(None).cast("string").alias("status"), F.when(F.col("value").isNull(), "no rows").alias("reason"))
+    if leaves[recipe.output]:
+        out = out.join(F.broadcast(_sources(leaves[recipe.output])))  # one row each
+    else:
+        none = F.array().cast("array<string>")
+        out = out.withColumns({"mixed": none, "sources": F.array().cast("array<struct<file:string,sheet:string,range:string>>"), "cells": none})
+    issues = F.concat("mixed", metric_issues(F.col("value"), F.lit(recipe.unit), F.lit(recipe.is_share), PERCENT, NON_NEGATIVE))
     checked = sanity(F.col("value"), F.lit(recipe.unit), F.lit(recipe.is_share))
-    status = F.when(F.col("value").isNull() | (F.col("status") == NA), NA).when(checked == FAILED, FAILED).otherwise(PASSED)
-    return out.select(F.lit(recipe.metric_id).alias("metric_id"), "value", F.lit(recipe.unit).alias("unit"), status.alias("status"), "reason")
+    status = F.when(F.size("mixed") > 0, FAILED).when(F.col("value").isNull() | (F.col("status") == NA), NA).when(checked == FAILED, FAILED).otherwise(PASSED)
+    about = {"metric_name": recipe.metric_name, "unit": recipe.unit, "period": recipe.period, "assumption": recipe.assumption_statement}
+    out = out.withColumns({k: F.lit(v).cast("int" if k == "period" else "string") for k, v in about.items()})
+    steps = F.array(*(F.lit(x) for x in chain[recipe.output]))
+    return out.select(
+        F.lit(recipe.metric_id).alias("metric_id"), "metric_name", "value", "unit", "period", status.alias("status"), "reason", issues.alias("issues"), "assumption",
+        steps.alias("blocks"), "sources", "cells",
+    )
+
+
+def detail(df: DataFrame) -> DataFrame:
+    """What a guarded sum reads of a leaf."""
+    return exclude_aggregates(df)
 
 
 def compile_all(recipes: list[dict], dataset: DataFrame, fields: set[str] | None = None) -> tuple[DataFrame | None, list[tuple[str, str]]]:
