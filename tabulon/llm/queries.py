@@ -82,11 +82,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op1_token_counts": r"""
+        WITH revised AS (SELECT doc_id, source, lang, REGEXP_REPLACE(text, '[0-9]+', '', 'g') AS text FROM documents)
         SELECT source, lang, tokenizer, CAST(COUNT(*) AS BIGINT) AS docs, CAST(SUM(n) AS BIGINT) AS tokens
         FROM (
-            SELECT source, lang, 'words-1' AS tokenizer, COALESCE(LEN(REGEXP_EXTRACT_ALL(text, '[^\x20\x09-\x0D]+')), 0) AS n, doc_id FROM documents
+            SELECT source, lang, 'words-1' AS tokenizer, COALESCE(LEN(REGEXP_EXTRACT_ALL(text, '[^\x20\x09-\x0D]+')), 0) AS n, doc_id FROM revised
             UNION ALL
-            SELECT source, lang, 'bytes-1' AS tokenizer, COALESCE(STRLEN(text), 0) AS n, doc_id FROM documents
+            SELECT source, lang, 'bytes-1' AS tokenizer, COALESCE(STRLEN(text), 0) AS n, doc_id FROM revised
         )
         WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)
         GROUP BY source, lang, tokenizer
