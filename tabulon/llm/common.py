@@ -24,8 +24,10 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a temporary one if all run on this machine."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found or f"file://{tempfile.gettempdir()}/checkpoints")
     whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return re.sub(r"^file:/(?!/)", "file:///", whole).rstrip("/")
@@ -68,6 +70,14 @@ class Scratch:
             pass
 
 
+def fresh(taken: list[str], name: str) -> str:
+    """The name, with underscores after it until no column in ``taken`` has it."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective mixer of 64-bit values."""
     x = x.astype(np.uint64, copy=True)
