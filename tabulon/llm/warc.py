@@ -29,11 +29,16 @@ from tabulon.llm.common import Scratch, ship
 
 MAGIC = b"\x1f\x8b\x08"
 CHUNK = 1 << 20
+#: Bytes of a candidate that are decoded to see whether it is a record.
+HEAD = 4096
 RANGE = 8 << 20
 MOST_TASKS = 100_000
 DATE = "2024-01-01T00:00:00Z"
 
 
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
 def digest(payload: bytes) -> str:
     """Bare upper-case base32 of the SHA-1."""
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
@@ -56,7 +61,9 @@ def record(page_id, url: str, payload: bytes, refers_to=None) -> bytes:
 
 
 def _open(path: str):
-    fs, p = pafs.FileSystem.from_uri(path)
+    """File system and path of a URI; Spark's names of object stores are told in pyarrow's words."""
+    scheme, sep, rest = path.partition("://")
+    fs, p = pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}{sep}{rest}")
     return fs, p
 
 
@@ -116,9 +123,10 @@ def scan(read, start: int, end: int) -> Iterator[tuple[int, bytes]]:
         if pos >= end:
             return
         buf, at = buf[i:], pos
+        fill(at + HEAD)
         d, out, used, fed = zlib.decompressobj(31), [], 0, 0
         try:
-            first = d.decompress(buf[:4096], 64)
+            first = d.decompress(buf[:HEAD], 64)
             if not first.startswith(b"WARC/"):
                 raise zlib.error
             d = zlib.decompressobj(31)
@@ -138,11 +146,12 @@ def scan(read, start: int, end: int) -> Iterator[tuple[int, bytes]]:
         buf, at = buf[used:], pos
 
 
-def read_warc(spark: SparkSession, files: DataFrame, span: int = RANGE) -> DataFrame:
+def read_warc(spark: SparkSession, files: DataFrame, span: int = RANGE, payloads: bool = True) -> DataFrame:
     """Records of files (path, bytes): page_id, payload_bytes, payload_digest, record_type, refers_to, url, path, offset, payload.
 
     A revisit's payload is null; length and digest are those its headers state. A response whose payload
-    doesn't have the stated digest raises an error. There are as many partitions as ranges, ``MOST_TASKS``
+    doesn't have the stated digest raises an error. Torn members aren't records: ``complete`` compares what was read with
+    what was written. Without ``payloads`` they are checked, but not given. There are as many partitions as ranges, ``MOST_TASKS``
     at most: their rows are small, so adaptive execution would put all of them into a few tasks.
     """
     ship(spark)
@@ -171,8 +180,8 @@ def read_warc(spark: SparkSession, files: DataFrame, span: int = RANGE) -> DataF
                             length = len(payload)
                             if digest(payload) != want:
                                 raise ValueError(f"{r.path} at {offset}: payload digest differs")
-                        rows.append((ids[0], length, want, x["warc-type"], ids[1], x.get("warc-target-uri", ""), r.path, offset, payload))
-                        size += len(data)
+                        rows.append((ids[0], length, want, x["warc-type"], ids[1], x.get("warc-target-uri", ""), r.path, offset, payload if payloads else None))
+                        size += len(data) if payloads else 256
                         if size > 16 << 20:
                             yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
                             rows, size = [], 0
@@ -185,8 +194,18 @@ def read_warc(spark: SparkSession, files: DataFrame, span: int = RANGE) -> DataF
     return ranges.repartition(min(int(count), MOST_TASKS), "path", "start").mapInPandas(run, schema)
 
 
+def complete(records: DataFrame, files: DataFrame) -> None:
+    """Raise if records (path) aren't as many for each of files (path, records) as were written."""
+    got = records.groupBy("path").agg(F.count(F.lit(1)).alias("got"))
+    short = files.join(got, "path", "left").where("records <> coalesce(got, 0)").select("path", "records", F.coalesce("got", F.lit(0)).alias("got")).limit(5).collect()
+    if short:
+        raise ValueError("archives don't hold what was written: " + "; ".join(f"{r.path}: {r.got} of {r.records} records" for r in short))
+
+
 def archive_pages(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Write a record for each row of pages (page_id, url, html) and read the archives back: read_warc's columns.
+    """Write a record for each row of pages (page_id, url, html) and read the archives back: read_warc's columns but the payload.
+
+    Raises if a record that was written isn't read.
 
     The payload is the html in UTF-8; a null one is empty. Of payloads equal and of at least ``least``
     bytes, that with the largest page_id is the response (all of them, if rows repeat that id), others
@@ -201,4 +220,6 @@ def archive_pages(pages: DataFrame, least: int = 0) -> DataFrame:
     revisits = scratch.write(revisits.select(F.col("page_id").alias("id"), "sha", F.col("last").alias("refers_to")).distinct(), "revisits")
     plan = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("id")) & (F.sha1("payload") == F.col("sha")), "left")
     files = write_warc(plan.select("page_id", "url", "payload", "refers_to"), scratch.path("archives"))
-    return read_warc(pages.sparkSession, files)
+    records = scratch.write(read_warc(pages.sparkSession, files, payloads=False).drop("payload"), "records")
+    complete(records, files)
+    return records
