@@ -20,7 +20,8 @@ from tabulon.llm.common import Scratch, runs
 
 LAST = 16384
 BUCKET = 16384
-SLOT_BUCKETS = 512
+#: Rows of a shard numbered by one task, about; and rows up to which bucket starts are broadcast.
+SLOT_ROWS, FEW = 250_000, 500_000
 
 
 def longest_first(sizes: list[int], keys: list, shards: int) -> list[int]:
@@ -83,13 +84,15 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     )
     rows = scratch.write(rows, "rows")
     groups = rows.groupBy("item").agg(F.sum("size").alias("size"))
-    placed = rows.join(schedule(groups, shards, scratch), "item").withColumn("b", F.pmod(F.xxhash64("doc_id", "item"), F.lit(SLOT_BUCKETS)))
+    buckets = max(8, -(-rows.count() // (shards * SLOT_ROWS)))
+    placed = rows.join(schedule(groups, shards, scratch), "item").withColumn("b", F.pmod(F.xxhash64("doc_id", "item"), F.lit(buckets)))
     placed = scratch.write(placed.select("doc_id", "size", "text_crc32", "shard", "b"), "placed")
     counts = placed.groupBy("shard", "b").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))  # shards x SLOT_BUCKETS rows at most
+    starts = counts.select("shard", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    starts = F.broadcast(starts) if shards * buckets <= FEW else starts
     own = Window.partitionBy("shard", "b").orderBy("doc_id", "text_crc32")
-    return placed.join(F.broadcast(starts), ["shard", "b"]).select(
+    return placed.join(starts, ["shard", "b"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("start") + F.row_number().over(own) - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
