@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import Scratch, hash_words, mix64, runs
+from tabulon.llm.common import Scratch, fresh, hash_words, mix64, runs
 from tabulon.llm.components import connected_components
 
 #: Documents and shingles of a block.
@@ -479,7 +479,7 @@ def one_of_each(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) ->
 
     def named(keys: DataFrame, what: str) -> tuple[DataFrame, object]:
         """The keys under names that no column of docs has, and the condition that a row of docs has such a key."""
-        a, b = _fresh(docs.columns, "id"), _fresh(docs.columns, "hash")
+        a, b = fresh(docs.columns, "id"), fresh(docs.columns, "hash")
         keys = scratch.write(keys.select(F.col("doc_id").alias(a), F.col("text_hash").alias(b)), what)
         return keys, F.col("doc_id").eqNullSafe(F.col(a)) & F.xxhash64("text").eqNullSafe(F.col(b))
 
@@ -491,9 +491,3 @@ def one_of_each(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) ->
     again = _small(again)
     return rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
-
-def _fresh(taken: list[str], name: str) -> str:
-    low = {c.lower() for c in taken}
-    while name.lower() in low:
-        name += "_"
-    return name
