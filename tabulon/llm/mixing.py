@@ -4,7 +4,7 @@ Every source's documents, in seeded order, form one sequence of words cut into b
 words. Blocks are seats: highest quotients target/(2 seats + 1) give each source an integer quota, and
 since the method is house monotone, the first k/shards of the seats are shard k's quota. Which blocks a
 source gives is a seeded permutation of its block numbers, passed up to ``most`` times. Prefix sums of
-sizes run in hash buckets, so a source with a third of all rows is spread over 256 of them.
+sizes run in hash buckets, as many as the number of rows asks for, so a source with a third of all rows is spread over them.
 
 Whole documents are mixed by the same order: all of them as often as the target holds the source, and once
 more the first ones up to the rest of the target. The document on that cut is in if more than half of it is,
@@ -26,10 +26,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import Scratch
+from tabulon.llm.common import Scratch, fresh
 
 BLOCK = 16
-BUCKETS = 256
+#: Rows of one hash bucket of a source, about, if it held all rows; buckets at least.
+BUCKET_ROWS, BUCKETS = 100_000, 256
 MOST_SOURCES = 100_000
 ROUNDS = 6
 WORD = r"[^\x20\x09-\x0D]+"
@@ -141,8 +142,9 @@ def _mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, s
     rows = docs.select(
         "doc_id", F.xxhash64("text").alias("text_hash"), F.col("source").cast("string").alias("src"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-    ).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text_hash")).withColumn("b", F.pmod("h", F.lit(BUCKETS)).cast("int"))
+    ).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text_hash"))
     rows = scratch.write(rows, "rows")
+    rows = rows.withColumn("b", F.pmod("h", F.lit(max(BUCKETS, -(-rows.count() // BUCKET_ROWS)))).cast("int"))
     parts = scratch.write(rows.groupBy("src", "b").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")), "parts")
     found = parts.groupBy("src").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")).limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:
@@ -200,7 +202,7 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
     size counts the words of the text (null: 0). A null source is a source, the last. taken counts the
     words of the document that the mix holds, repeats included, at most ``most`` times its size;
-    copies says how often the document is in a mix of whole ones, whose words by source meet the target
+    Equal quotients go to the source earlier in the order. copies says how often the document is in a mix of whole ones, whose words by source meet the target
     up to a part of a document; ``by_shard`` adds shard_words, taken by shard. Rows without words take
     nothing. text_hash is the text's xxhash64. Equal rows stand next to each other in their source's
     order, take what falls on them, and have equal copies. Reruns agree. No rows give none.
@@ -211,8 +213,9 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs as often as the mixture holds them whole (``copies``); those it doesn't hold go."""
     scratch = Scratch(docs.sparkSession, "mixed")
-    key = [F.col("src").alias("_source"), F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")]
-    plan_ = _mix(docs, **options).where("copies > 0").select(*key, F.col("copies").alias("_copies"))
-    plan_ = scratch.write(plan_.dropDuplicates(["_source", "_id", "_hash"]), "plan")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")) & F.col("source").cast("string").eqNullSafe(F.col("_source"))
-    return docs.join(plan_, same).withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    source, id_, hash_, copies, nth = (fresh(docs.columns, x) for x in ("_source", "_id", "_hash", "_copies", "_nth"))
+    key = [F.col("src").alias(source), F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)]
+    plan_ = _mix(docs, **options).where("copies > 0").select(*key, F.col("copies").alias(copies))
+    plan_ = scratch.write(plan_.dropDuplicates([source, id_, hash_]), "plan")
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(hash_)) & F.col("source").cast("string").eqNullSafe(F.col(source))
+    return docs.join(plan_, same).withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
