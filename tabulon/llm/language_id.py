@@ -2,7 +2,7 @@
 
 Learning: character trigram counts of every labelled document, hashed to ``BUCKETS`` features, summed by
 Spark; smoothed logarithms are each language's n-gram likelihoods. Inference: a document is a sequence of
-words (runs of letters), each drawn from one language of a mixture. Expectation-maximisation over the
+words (runs of letters and marks), each drawn from one language of a mixture. Expectation-maximisation over the
 words' likelihoods estimates the proportions. The set of languages is chosen among the sets of the most
 frequent ones by penalised likelihood (BIC). All documents of an Arrow batch are inferred together with
 numpy; whole texts are read.
@@ -29,9 +29,9 @@ _letters: list[np.ndarray] = []
 
 
 def letters() -> np.ndarray:
-    """For each code point up to U+FFFF, whether it is a letter."""
+    """For each code point up to U+FFFF, 2 for a letter, 1 for a mark, which belongs to words too, else 0."""
     if not _letters:
-        _letters.append(np.array([unicodedata.category(chr(i))[0] == "L" for i in range(65536)]))
+        _letters.append(np.array(["-ML".find(unicodedata.category(chr(i))[0]) for i in range(65536)]).clip(0).astype(np.int8))
     return _letters[0]
 
 
@@ -40,10 +40,11 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     low = [t.lower() for t in texts]
     cp = np.frombuffer(" ".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = np.cumsum([len(t) + 1 for t in low])
-    is_letter = letters()[np.minimum(cp, 65535)]
+    kind = letters()[np.minimum(cp, 65535)]
     for c in np.unique(cp[cp > 65535]).tolist():
-        is_letter[cp == c] = unicodedata.category(chr(c))[0] == "L"
-    code = np.where(is_letter, cp, 0).astype(np.uint64)
+        kind[cp == c] = max(0, "-ML".find(unicodedata.category(chr(c))[0]))
+    bare = (kind == 1) & (np.concatenate([np.zeros(1, np.int8), kind[:-1]]) == 0)  # marks that follow no letter count as none
+    code = np.where((kind > 0) & ~bare, cp, 0).astype(np.uint64)
     code = np.concatenate([np.zeros(1, np.uint64), code, np.zeros(1, np.uint64)])
     at = np.flatnonzero(code[1:-1])  # a trigram for each letter, its neighbours or blanks beside it
     h = (code[at] * np.uint64(0x9E3779B97F4A7C15) + code[at + 1]) * np.uint64(0xC2B2AE3D27D4EB4F) + code[at + 2]
@@ -109,11 +110,13 @@ def mixture(like: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     best, score = fit(np.ones((len(have), k)))
     rank = np.argsort(np.argsort(-best, axis=1, kind="stable"), axis=1, kind="stable")
     chosen, value = np.zeros_like(best), np.full(len(have), -np.inf)
-    for m in range(1, min(k, 4) + 1):
+    for m in range(1, k + 1):  # until no document's set grows
         pi, ll = fit((rank < m) * np.maximum(best, 1e-6))
         worth = ll - 0.5 * (m - 1) * np.log(size + 1.0) - (m - 1)
         up = worth > value + 1e-9
         chosen[up], value[up] = pi[up], worth[up]
+        if not up.any():
+            break
     out, total = np.zeros((n, k)), np.zeros(n)
     out[have], total[have] = chosen, value
     return out, total
@@ -145,15 +148,15 @@ def language_of(langs: list[str], logp: np.ndarray):
     return infer
 
 
-def identify(docs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """docs with a column ``language``: lang_pred, score (its proportion) and proportions (map of the chosen set).
+def identify(docs: DataFrame, labelled: DataFrame, name: str = "language") -> DataFrame:
+    """docs with a column ``name``: lang_pred, score (its proportion) and proportions (map of the chosen set).
 
     A null text, one without letters, and any text when nothing was learned are ``und`` with score 0.
     Equal texts get equal answers; lang, source and ids are not read here. Empty tables give empty ones.
-    A column of docs that is called language is replaced.
+    A column of docs that is called ``name`` is replaced. Of equal proportions the language first in order is taken.
     """
     Scratch(docs.sparkSession, "lang")
-    return docs.withColumn("language", language_of(*learn(labelled))(F.col("text")))
+    return docs.withColumn(name, language_of(*learn(labelled))(F.col("text")))
 
 
 def held_out(doc_id):
