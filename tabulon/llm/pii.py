@@ -2,7 +2,8 @@
 
 The base patterns find what they describe in every whole text. The tagger is trained on the driver from
 labelled spans: windows of a bounded sample of documents labelled by the patterns, and the same kinds
-written in other ways (without a plus, with dots or in words) put into such windows. It tags every window
+written in other ways (without a plus, with other separators or blanks around them) put into such windows;
+kinds spelled in words alone, without a digit or an ``@``, aren't looked for. It tags every window
 of a text that holds a digit or an ``@``: no kind can do without either. Windows overlap by half; each
 character takes the scores of the window in which it is most central, stitched stretches are decoded as
 a whole by the CRF, and a decoded span is added where its marginal probability is high, it has the
@@ -32,13 +33,14 @@ PATTERNS = {
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 WINDOW, HOP = 64, 32
-#: Windows of the training sample at most.
-SAMPLE = 2000
-HIDDEN, EMBED = 16, 12
-SURE = 0.9
+#: Windows of the training sample at most; disguised instances for each of them, and in all at least.
+SAMPLE, DISGUISED, LEAST_DISGUISED = 2000, 2, 2400
+HIDDEN, EMBED = 20, 12
+SURE = 0.8
 
 _DIGITS = re.compile(r"[^0-9]")
 _TRIGGER = re.compile(r"[0-9@]")
+_NUMBERS, _NUMBER = re.compile(r"[0-9]+(?:\.[0-9]+)*"), re.compile(r"[0-9]+")
 
 
 def luhn(digits: str) -> bool:
@@ -65,11 +67,25 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         out += [(m.start(), 0, m.end()) for m in _emails(text)]
     if _TRIGGER.search(text):
         for k in (1, 2, 3):
-            if k != 3 or "+" in text:
+            if k == 1:
+                out += _ips(text)
+            elif k != 3 or "+" in text:
                 out += [(m.start(), k, m.end()) for m in PATTERNS[KINDS[k]].finditer(text) if valid(KINDS[k], m[0])]
     return sorted(out)
 
 
+def _ips(text: str) -> list[tuple[int, int, int]]:
+    """The ip pattern's valid matches: each run of numbers with single dots between them gives its fours in order, so the scan is linear."""
+    out = []
+    for chain in _NUMBERS.finditer(text):
+        parts = list(_NUMBER.finditer(text, chain.start(), chain.end()))
+        for i in range(0, len(parts) - 3, 4):
+            start, end = parts[i].start(), parts[i + 3].end()
+            if valid("ip", text[start:end]):
+                out.append((start, 1, end))
+    return out
+
+
 def _emails(text: str) -> Iterator[re.Match]:
     """The email pattern's matches; only the run of local characters before each ``@`` is tried, so the scan is linear."""
     local, at, done = re.compile(r"[A-Za-z0-9._%+-]+\Z"), text.find("@"), 0
@@ -110,6 +126,7 @@ class Tagger:
             "wx1": r.normal(0, e**-0.5, (e, 4 * h)), "wh1": r.normal(0, h**-0.5, (h, 4 * h)), "b1": np.zeros(4 * h),
             "wo": r.normal(0, (2 * h) ** -0.5, (2 * h, TAGS)), "bo": np.zeros(TAGS), "tr": np.zeros((TAGS, TAGS)),
         }
+        self.p = {k: a.astype(np.float32) for k, a in self.p.items()}
         self.p["b0"][h : 2 * h] = self.p["b1"][h : 2 * h] = 1.0
         for k in range(len(KINDS)):  # inside follows its own kind only
             for t in range(TAGS):
@@ -175,7 +192,7 @@ class Tagger:
         np.add.at(demb, c.T.ravel(), flat(dx0 + dx1[::-1]))
         return g | g0 | g1 | {"emb": demb}
 
-    def train(self, c: np.ndarray, y: np.ndarray, rounds: int = 260, batch: int = 48, rate: float = 0.02, seed: int = 4) -> None:
+    def train(self, c: np.ndarray, y: np.ndarray, rounds: int = 500, batch: int = 64, rate: float = 0.02, seed: int = 4) -> None:
         """Adam over windows c and tags y (windows, WINDOW)."""
         r = np.random.default_rng(seed)
         m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
@@ -273,7 +290,7 @@ def _labelled(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def train_tagger(docs: DataFrame, sample: int = SAMPLE, seed: int = 6) -> Tagger:
-    """A tagger trained on at most ``sample`` windows of docs and as many with disguised instances.
+    """A tagger trained on at most ``sample`` windows of docs and more of them with disguised instances put in.
 
     Windows are hashed to ``sample`` buckets and each bucket keeps its least, so tasks combine before the
     shuffle, copies of a window count once and the driver gets ``sample`` rows at most, whatever the input.
@@ -288,8 +305,8 @@ def train_tagger(docs: DataFrame, sample: int = SAMPLE, seed: int = 6) -> Tagger
     for text, tags in texts:
         c.append(chars(text.ljust(WINDOW)[:WINDOW]))
         y.append(tags)
-    for i in range(len(texts)):
-        text, tags = texts[i]
+    for i in range(max(DISGUISED * len(texts), LEAST_DISGUISED)):
+        text, tags = texts[i % len(texts)]
         kind = r.randrange(len(KINDS))
         inside, at = disguised(kind, r), r.randint(0, WINDOW // 2)
         plain = "".join(" " if t else x for x, t in zip(text.ljust(WINDOW), tags))
