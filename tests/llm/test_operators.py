@@ -3,6 +3,7 @@ import datetime as dt
 import hashlib
 import random
 import re
+import time
 import zlib
 from fractions import Fraction
 
@@ -11,12 +12,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from oracle import connection, differences
-from tabulon.llm import decontamination, jaccard_join, language_id, mixing, pii, sharding, url_filter, warc
+from tabulon.llm import decontamination, embedding_dedup, jaccard_join, language_id, mixing, pii, sharding, url_filter, warc
 from tabulon.llm.common import Scratch
 from tabulon.llm.components import connected_components
 from tabulon.llm.embedding_dedup import near_vectors
 from tabulon.llm.queries import QUERIES, SQL
-from tabulon.llm.token_counts import SCHEMA, TokenRollup, maintained_counts, revised, signed
+from tabulon.llm.token_counts import SCHEMA, TokenRollup, bpe, maintained_counts, revised, signed
 
 FOLDER = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string"
@@ -50,14 +51,53 @@ def test_rollup_commits_once_and_takes_signed_changes(spark, tmp_path):
     roll.commit("b3", revised(spark.createDataFrame([("s", "en", "words-1", 2, 5)], "source string, lang string, tokenizer string, old_tokens long, new_tokens long")))
     want = {("s", "en", "words-1", 1, 5), ("s", "en", "bytes-1", 1, 3), (None, None, "words-1", 1, 0), (None, None, "bytes-1", 1, 0)}
     assert {tuple(r) for r in roll.totals().collect()} == want
-    roll.compact("all", ["b1", "b2"])
-    assert roll.committed() == ["all", "b3"] and {tuple(r) for r in roll.totals().collect()} == want
+    first = roll.compact()
+    assert roll.live() == [first] and roll.committed() == ["b1", "b2", "b3"]
+    assert not roll.commit("b1", signed(docs, 1)) and {tuple(r) for r in roll.totals().collect()} == want
+    roll.commit("b4", signed(docs.where("doc_id = 2"), 1))
+    roll.compact()
+    assert roll.committed() == ["b1", "b2", "b3", "b4"] and not roll.commit("b2", signed(docs, 1))
+    with pytest.raises(ValueError):
+        roll.commit("compact-x", signed(docs, 1))
+
+
+def test_rollup_survives_a_crash_between_compaction_and_deletion(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b", "en", "s"), (2, "c", "en", "s")], DOCS)
+    roll = TokenRollup(spark, f"file://{tmp_path}/r")
+    roll.insert("b1", docs)
+    roll.delete("b2", docs.where("doc_id = 2"))
+    want = {tuple(r) for r in roll.totals().collect()}
+    monkeypatch.setattr(TokenRollup, "_clean", lambda self: None)
+    roll.compact()
+    assert (tmp_path / "r/deltas/b1/_SUCCESS").exists()
+    again = TokenRollup(spark, f"file://{tmp_path}/r")
+    assert {tuple(r) for r in again.totals().collect()} == want and not again.insert("b1", docs) and not again.delete("b2", docs)
+    monkeypatch.undo()
+    again.compact()
+    assert not (tmp_path / "r/deltas/b1").exists() and {tuple(r) for r in again.totals().collect()} == want
+
+
+def test_ledger_deletes_and_revises_single_documents(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b", "en", "s"), (1, "a b", "en", "s"), (1, "x", "de", "t"), (None, "n 1", "en", "s"), (4, None, "en", "s")], DOCS)
+    roll = TokenRollup(spark, f"file://{tmp_path}/r")
+    roll.insert("load", docs)
+    version = lambda i, old, new: docs.where(F.col("doc_id").eqNullSafe(F.lit(i)) & F.col("text").eqNullSafe(F.lit(old))).select("doc_id", F.xxhash64("text").alias("replaces"), F.lit(new).alias("text"))
+    roll.revise("r1", version(1, "a b", "a b c d").unionByName(version(None, "n 1", "n")))
+    assert not roll.revise("r1", version(1, "x", "y z"))
+    roll.revise("r2", version(1, "a b", "gone already"))
+    words_ = lambda: {tuple(r) for r in roll.totals().where("tokenizer = 'words-1'").drop("tokenizer").collect()}
+    assert words_() == {("s", "en", 4, 9), ("t", "de", 1, 1)}
+    roll.compact()
+    roll.delete("d", spark.createDataFrame([(1,), (1,), (None,), (77,)], "doc_id long"))
+    assert words_() == {("s", "en", 2, 1)}
+    roll.insert("again", docs.where("doc_id = 4"))
+    assert words_() == {("s", "en", 3, 1)} and sorted(r.copies for r in roll.ledger().collect()) == [1, 2]
 
 
 def test_rollup_replaces_what_a_failed_try_left(spark, tmp_path):
     folder = f"file://{tmp_path}/r"
-    spark.createDataFrame([("s", "en", "words-1", 9, 9)], SCHEMA).write.parquet(f"{folder}/b1")
-    (tmp_path / "r/b1/_SUCCESS").unlink()
+    spark.createDataFrame([("s", "en", "words-1", 9, 9)], SCHEMA).write.parquet(f"{folder}/deltas/b1")
+    (tmp_path / "r/deltas/b1/_SUCCESS").unlink()
     roll = TokenRollup(spark, folder)
     roll.commit("b1", spark.createDataFrame([("s", "en", "words-1", 1, 2)], SCHEMA))
     assert [tuple(r) for r in roll.totals().collect()] == [("s", "en", "words-1", 1, 2)]
@@ -74,6 +114,18 @@ def test_token_counts_of_odd_rows(spark, odd_docs):
     assert maintained_counts(empty(spark), gone).count() == 0
 
 
+def test_byte_pairs_count_as_the_vocabulary_does(spark, tmp_path):
+    tiktoken = pytest.importorskip("tiktoken")
+    ranks = {bytes([i]): i for i in range(256)} | {b"ab": 256, b"abc": 257}
+    (tmp_path / "v").write_text("\n".join(f"{base64.b64encode(k).decode()} {i}" for k, i in ranks.items()))
+    pattern = r"\S+|\s+"
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    texts = ["abc ab", "", None, "xabcé"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.n for r in docs.select("doc_id", bpe(str(tmp_path / "v"), pattern)(F.col("text")).alias("n")).collect()}
+    assert got == {i: len(own.encode_ordinary(t or "")) for i, t in enumerate(texts)}
+
+
 # WARC
 def test_members_are_owned_by_the_range_of_their_start():
     r = random.Random(2)
@@ -86,6 +138,29 @@ def test_members_are_owned_by_the_range_of_their_start():
         assert found == starts
 
 
+def test_ranges_that_start_anywhere_find_all_members(monkeypatch):
+    monkeypatch.setattr(warc, "CHUNK", 97)
+    r = random.Random(3)
+    members = [warc.record(i, "u", r.randbytes(r.randrange(400))) for i in range(40)]
+    data, starts = b"".join(members), np.cumsum([0, *map(len, members)])[:-1].tolist()
+    for span in (50, 61, 333):
+        assert [o for s in range(0, len(data), span) for o, _ in warc.scan(lambda at, n: data[at : at + n], s, min(len(data), s + span))] == starts
+
+
+def test_lost_records_raise(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"page {i}" * 50, None) for i in range(20)], "page_id long, url string, html string, refers_to long")
+    files = warc.write_warc(pages.coalesce(1).select("page_id", "url", F.encode("html", "utf-8").alias("payload"), "refers_to"), f"file://{tmp_path}/a")
+    records = warc.read_warc(spark, files)
+    assert records.count() == 20
+    warc.complete(records, files)
+    path = files.first().path.removeprefix("file://")
+    data = bytearray(open(path, "rb").read())
+    data[len(data) // 2] ^= 255
+    open(path, "wb").write(data)
+    with pytest.raises(Exception, match="records|digest"):
+        warc.complete(warc.read_warc(spark, files), files)
+
+
 def test_torn_members_are_left_out():
     data = warc.record(1, "u", b"x" * 100) + warc.record(2, "u", b"y" * 100)[:-30]
     assert len(list(warc.scan(lambda at, n: data[at : at + n], 0, len(data)))) == 1
@@ -101,7 +176,11 @@ def test_archive_round_trip(spark):
         assert got[i].payload_bytes == len(payload)
         assert got[i].payload_digest == base64.b32encode(hashlib.sha1(payload).digest()).decode()
     assert [(got[i].record_type, got[i].refers_to) for i in (1, 2, 5, 3, 6)] == [("revisit", 5), ("revisit", 5), ("response", None), ("revisit", 6), ("response", None)]
-    assert bytes(got[4].payload).decode() == "é" * 70_000
+    files = warc.write_warc(df.select("page_id", "url", F.encode("html", "utf-8").alias("payload"), F.lit(None).cast("long").alias("refers_to")).where("payload IS NOT NULL"), Scratch(spark, "w").path("a"))
+    assert {r.page_id: bytes(r.payload).decode() for r in warc.read_warc(spark, files, 1000).collect()} == {i: h for i, _, h in pages if h is not None}
+    odd = spark.createDataFrame([(None, "u", "x"), (1, None, "x"), (1, "v", "x"), (1, "v", "y"), (2, "w", "y"), (2, "w", "y")], "page_id long, url string, html string")
+    found = sorted((r.page_id or 0, r.record_type, r.refers_to or 0, r.payload_bytes) for r in warc.archive_pages(odd).collect())
+    assert found == [(0, "revisit", 1, 1), (1, "response", 0, 1), (1, "response", 0, 1), (1, "revisit", 2, 1), (2, "response", 0, 1), (2, "response", 0, 1)]
     assert warc.archive_pages(df.limit(0)).count() == 0
 
 
@@ -324,7 +403,7 @@ def test_words_and_subsequence():
     assert sizes.tolist() == [3, 0, 2, 1] and ids[0] == ids[1] and ids[3] == ids[4]
     masks = {}
     for k, x in enumerate("abcbdab"):
-        masks[x] = masks.get(x, 0) | 1 << k
+        masks.setdefault(x, []).append(k)
     assert decontamination.lcs(masks, 7, list("bdcaba")) == 4
 
 
@@ -352,6 +431,39 @@ def test_base_spans():
     assert pii.base_spans(text) == plain and [k for _, k, _ in plain] == [0, 1, 2, 3]
 
 
+def test_base_spans_are_found_in_linear_time_and_in_order():
+    r = random.Random(7)
+    for _ in range(300):
+        text = "".join(r.choice("0123456789...1 -+@ab()") for _ in range(60))
+        plain = sorted((m.start(), k, m.end()) for k, kind in enumerate(pii.KINDS) for m in pii.PATTERNS[kind].finditer(text) if pii.valid(kind, m[0]))
+        assert pii.base_spans(text) == plain
+    began = time.time()
+    pii.base_spans("7" * 200_000 + "." + "1.2.3" * 50_000 + "a" * 100_000 + "@")
+    assert time.time() - began < 5
+
+
+def test_tagger_adds_what_the_patterns_miss(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    tagger = pii.train_tagger(docs.select("doc_id", "text"))
+    r = random.Random(99)
+    host = [x.text for x in docs.where("length(text) > 400").orderBy("doc_id").limit(200).collect()]
+    texts, want = [], []
+    for i in range(400):
+        inside, before = pii.disguised(i % 4, r), r.choice(host)[:200] + " "
+        text, at = before + inside + " " + r.choice(host)[:150], len(before)
+        if not any(s < at + len(inside) and at < e for s, _, e in pii.base_spans(text)):
+            texts.append(text)
+            want.append((at, i % 4, at + len(inside)))
+    added = pii.added_spans(texts, [pii.base_spans(t) for t in texts], tagger)
+    for k in range(4):
+        hits = [w in x for w, x in zip(want, added) if w[1] == k]
+        assert len(hits) > 30 and sum(hits) >= 0.9 * len(hits)
+    clean = [t for t in host if not any(c.isdigit() or c == "@" for c in t)]
+    assert not any(pii.added_spans(clean, [[] for _ in clean], tagger))
+    more = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:40])], "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
+    assert pii.find_personal_data(more).where("doc_id < 40").agg(F.sum("n_added")).first()[0] >= 30
+
+
 def test_crf_marginals_and_best_path_equal_enumeration():
     r = np.random.default_rng(1)
     e, tr = r.normal(size=(4, 1, pii.TAGS)), r.normal(size=(pii.TAGS, pii.TAGS))
@@ -401,14 +513,20 @@ def test_personal_data_of_odd_rows(spark, odd_docs):
 
 
 # Embeddings
-def test_links_of_vectors_equal_brute_force(spark):
-    r = np.random.default_rng(5)
+def near_rows(seed, dim, groups, most, noise):
+    r = np.random.default_rng(seed)
     rows = []
-    for i in range(60):
-        base = r.normal(size=32)
-        rows += [(len(rows) + k, (base + r.normal(size=32) * 0.06).tolist(), int(i % 3)) for k in range(r.integers(1, 6))]
+    for i in range(groups):
+        base = r.normal(size=dim)
+        rows += [(len(rows) + k, (base + r.normal(size=dim) * noise).tolist(), int(i % 3)) for k in range(r.integers(1, most))]
+    return rows
+
+
+@pytest.mark.parametrize(("dim", "groups", "most", "noise"), [(32, 60, 6, 0.06), (64, 150, 12, 0.085), (64, 12, 60, 0.09)])
+def test_links_of_vectors_equal_brute_force(spark, dim, groups, most, noise):
+    rows = near_rows(5, dim, groups, most, noise)
     n = len(rows)
-    rows += [(n, rows[0][1], rows[0][2]), (n + 1, None, 1), (n + 2, [0.0] * 32, 1), (n + 3, [float("nan")] * 32, 1), (n + 4, rows[0][1], None), (n + 5, [1.0] * 4, 1)]
+    rows += [(n, rows[0][1], rows[0][2]), (n + 1, None, 1), (n + 2, [0.0] * dim, 1), (n + 3, [float("nan")] * dim, 1), (n + 4, rows[0][1], None), (n + 5, [1.0] * 4, 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("code", F.lit(1))
     got = {r.vec_id: r for r in near_vectors(df).collect()}
     x = np.array([v for _, v, _ in rows[: n + 1]])
@@ -417,11 +535,19 @@ def test_links_of_vectors_equal_brute_force(spark):
     near = (x @ x.T >= 0.98) & (label[:, None] == label[None])
     links = near.sum(1) - 1
     found = np.array([got[i].n_links for i in range(n + 1)])
-    assert (found <= links).all() and found.sum() >= 0.9 * links.sum()
+    assert links.sum() > 50 and (found <= links).all() and found.sum() >= 0.95 * links.sum()
     assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in range(n + 1, n + 6))
     assert near_vectors(df.limit(0)).count() == 0
 
 
+def test_keys_widen_with_the_rows_of_a_label():
+    plans = [embedding_dedup.plan_tables(n) for n in (0, 1000, 100_000, 10_000_000, 10**12)]
+    assert [p[0] for p in plans] == [10, 10, 17, 24, 24]
+    for width, each, words in plans:
+        bits, differ = width * each * words, np.arccos(0.98) / np.pi
+        assert 2 * each * words - 1 >= bits * differ + 2 * np.sqrt(bits * differ * (1 - differ)) or words == 16
+
+
 def test_copies_link_across_batches_with_and_without_null_labels(spark):
     v, other = [1.0, 2.0, 3.0], [-3.0, 1.0, 0.5]
     parts = [[(1, v, 3), (2, other, None)], [(3, v, 3), (4, v, 4)], [(5, v, 3), (6, v, None)]]
