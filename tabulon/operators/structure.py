@@ -50,16 +50,16 @@ def annotate(cells: DataFrame) -> DataFrame:
         "col_years": F.count(data(F.col("year"))).over(column), "small": F.bool_and(data(F.abs(v) <= 100)).over(column), "broken": F.bool_or(data(v != F.floor(v))).over(column),
     })
     name = F.when(F.size("layers") > 0, F.array_join("layers", " > "))
-    out = out.withColumns({"name": name, "code": S.period_code(F.element_at("layers", -1), F.lit(None).cast("double"))})
+    out = out.withColumns({"name": name, "code": S.period_code(F.try_element_at("layers", F.lit(-1)), F.lit(None).cast("double"))})
     ratio = (S.unit_of(F.coalesce("name", F.lit(""))) == "%") | (F.coalesce("small", F.lit(False)) & F.coalesce("broken", F.lit(False)))
-    entity = F.col("code").isNull() & (F.col("col_filled") > 0) & (1 - F.col("col_numeric") / F.col("col_filled") > DENSE)
+    entity = F.col("code").isNull() & (F.col("col_filled") > 0) & (1 - F.try_divide("col_numeric", "col_filled") > DENSE)
     out = out.withColumns({
-        "ratio_like": ratio, "period_col": F.min(F.when(F.col("col_years") / F.col("col_filled") >= PERIODS, col)).over(sheet), "entity_col": F.min(F.when(entity, col)).over(sheet),
+        "ratio_like": ratio, "period_col": F.min(F.when(F.try_divide("col_years", "col_filled") >= PERIODS, col)).over(sheet), "entity_col": F.min(F.when(entity, col)).over(sheet),
         "transposed": F.size(F.collect_set(F.when(F.col("code").isNotNull(), col)).over(sheet)) >= LEAST_CODES,
     })
     kind = (
         F.when(F.col("name").isNull() | (F.col("col_filled") == 0), "empty").when(col == F.col("period_col"), "period")
-        .when(F.col("col_numeric") / F.col("col_filled") > DENSE, "measure").otherwise("label")
+        .when(F.try_divide("col_numeric", "col_filled") > DENSE, "measure").otherwise("label")
     )
     return out.withColumn("kind", kind)
 
@@ -112,7 +112,7 @@ def long_table(cells: DataFrame) -> DataFrame:
     return rows.select(
         F.when(across, F.col("code.year")).otherwise(F.col("row_year")).cast("int").alias("period"), F.when(across, F.col("code.month")).cast("int").alias("month"), canonical.alias("canonical"),
         F.when(across, F.col("entity")).otherwise(F.col("name")).alias("dimension"), F.col("number").alias("value"), *SHEET, "row", "col",
-        S.role_of(F.element_at(layers, -1)).alias("aggregation_role"), ((F.col("number") < 0) & (across | ~F.col("ratio_like"))).alias("anomaly"),
+        S.role_of(F.try_element_at(layers, F.lit(-1))).alias("aggregation_role"), ((F.col("number") < 0) & (across | ~F.col("ratio_like"))).alias("anomaly"),
     )
 
 
