@@ -205,6 +205,20 @@ def test_shards_keep_groups_and_balance(spark, odd_docs, monkeypatch):
     assert sharding.shard_documents(empty(spark), 3).count() == 0
 
 
+def test_shards_equal_brute_force(spark):
+    r = random.Random(6)
+    rows = [(i, words(random.Random(i % 50), 3 + i % 50 * 7), "en", "s") for i in range(150)] + [(900, None, "en", "s"), (901, "", "en", "s")]
+    got = {x.doc_id: x.shard for x in sharding.shard_documents(spark.createDataFrame(r.sample(rows, len(rows)), DOCS), 5).collect()}
+    groups = {}
+    for i, t, _, _ in rows:
+        groups.setdefault(hashlib.sha1((t or "").encode()).hexdigest(), []).append((i, len((t or "").encode()) + 1))
+    loads = [0] * 5
+    for _, members in sorted(groups.items(), key=lambda g: (-sum(n for _, n in g[1]), g[0])):
+        s = loads.index(min(loads))
+        loads[s] += sum(n for _, n in members)
+        assert all(got[i] == s for i, _ in members)
+
+
 # Jaccard join
 def tuple_sets(texts, width):
     """Shingles as tuples of words, by the contract's own words."""
@@ -398,6 +412,58 @@ def test_paraphrases_with_the_answer_kept_are_all_found(spark, apart):
     assert got == want
 
 
+def test_search_equals_brute_force(spark):
+    r = random.Random(11)
+    vocabulary = [words(r, 1) + words(r, 1) for _ in range(400)]
+    text = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = [text(r.randrange(12, 20)) for _ in range(8)]
+    docs = []
+    for i in range(48):
+        t, copy = text(r.randrange(10, 40)), list(items[i % 8])
+        lost = r.choice([0, 0.1, 0.2, 0.3, 0.45])
+        copy = [r.choice(vocabulary) if k < len(copy) - 5 * (lost > 0.2) and r.random() < lost else w for k, w in enumerate(copy)]
+        docs.append(t[:5] + (copy if i % 3 else []) + t[5:])
+
+    def common(a, b):
+        best = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, best[j] = best[j], last + 1 if x == y else max(best[j], best[j - 1])
+        return best[-1]
+
+    def held(doc, item):
+        pad, n, answer = 4 + len(item) // 4, len(item), item[-5:]
+        for at in range(-n, len(doc)):
+            own = doc[max(0, at - pad) : max(0, at) + n + pad]
+            part = common(item, own) / n
+            if part >= 0.8 or part >= 0.5 and any(own[k : k + 5] == answer for k in range(len(own))):
+                return True
+        return False
+
+    want = {(i, j) for i, d in enumerate(docs) for j, x in enumerate(items) if len(set(d) & set(x)) >= len(set(x)) // 2 and held(d, x)}
+    df = spark.createDataFrame([(i, " ".join(d), "en", "s") for i, d in enumerate(docs)], DOCS)
+    bench = spark.createDataFrame([(j, " ".join(x)) for j, x in enumerate(items)], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontamination.find_leaks(df, bench).collect()}
+    assert len(want) > 20 and got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_namesakes_and_null_ids_are_judged_by_their_texts(spark):
+    r = random.Random(3)
+    item, clean = words(r, 40), words(r, 60)
+    docs = spark.createDataFrame([(1, item, "en", "s"), (1, clean, "en", "s"), (None, item, "en", "s"), (None, clean, "en", "s"), (2, None, "en", "s")], DOCS).withColumns({"id": F.lit(1), "hash": F.lit(2)})
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    kept = decontamination.without_leaks(docs, bench)
+    assert kept.columns == docs.columns and sorted((x.doc_id or 0, x.text == clean) for x in kept.collect()) == [(0, True), (1, True), (2, False)]
+
+
+def test_long_items_keep_memory_linear():
+    places = {}
+    for k in range(60_000):
+        places.setdefault(k % 59_000, []).append(k)
+    assert decontamination.lcs(places, 60_000, list(range(0, 2000))) == 2000
+
+
 def test_words_and_subsequence():
     ids, sizes = decontamination.split_words(["Hello, hello WORLD", None, "é-É", "x" * 10])
     assert sizes.tolist() == [3, 0, 2, 1] and ids[0] == ids[1] and ids[3] == ids[4]
@@ -572,11 +638,66 @@ def test_url_rules_and_aliases(spark):
     assert all(got[i][2:] == (None, "allow") for i in (8, 9, 10, 11, 12))
 
 
+def test_verdicts_equal_brute_force(spark):
+    r = random.Random(12)
+    hosts = ["a.org", "b.com", "x.example.org", "c.net", "d.net", "e.io"]
+    urls = [f"http://{r.choice(hosts)}/{r.choice(['fr', 'de', 'es', 'en', 'z'])}/{i}" for i in range(120)]
+    target = {i: r.randrange(120) for i in range(120) if r.random() < 0.6}
+    pages = [(i, u, f'<LINK rel="canonical" href="{urls[target[i]]}">' if i in target else "<p>") for i, u in enumerate(urls)]
+    pages += [(3, *pages[3][1:]), (None, urls[5], None), (500, "http://" + "h" * 30_000 + "/" + "p" * 30_000, "<a>" * 50_000)]
+    redirects = [(urls[i], urls[(i * 7) % 120]) for i in range(0, 120, 9)] + [(None, "x"), ("x", None)]
+    root = list(range(120))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in [*target.items(), *((i, (i * 7) % 120) for i in range(0, 120, 9))]:
+        root[find(i)] = find(j)
+
+    def own(url):
+        host, _, path = url.split("://")[1].partition("/")
+        fits = [(len(h + p), says) for says, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)]
+        return max(fits)[1] if fits else None
+
+    group = {}
+    for i, u in enumerate(urls):
+        group.setdefault(find(i), set()).add(own(u))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("host", F.lit(1))
+    got = url_filter.filter_urls(df, redirects=spark.createDataFrame(redirects, "url string, target string")).collect()
+    assert len(got) == len(pages)
+    for x in got:
+        if x.page_id is not None and x.page_id < 120:
+            kinds = group[find(x.page_id)]
+            assert x.verdict == (own(urls[x.page_id]) or ("allow" if "allow" in kinds or "block" not in kinds else "block"))
+    assert url_filter.filter_urls(df.limit(0)).count() == 0
+
+
 def test_url_plan_has_no_python(spark):
     plan = QUERIES["op10_url_filter"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_pipeline_of_odd_rows(spark, odd_docs, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(5)
+    a, leak = words(r, 80), words(r, 40)
+    more = [(20 + i, words(r, 60), "en" if i % 2 else None, "a") for i in range(12)] + [(50, a, "en", "b"), (51, a + " tail", "en", "b"), (51, a + " tail", "en", "b"), (52, words(r, 20) + " " + leak, "en", "c")]
+    docs = odd_docs.drop("n", "sid", "size", "b", "rank").unionByName(spark.createDataFrame(more, DOCS)).withColumn("n_chars", F.length("text").cast("long"))
+    docs = docs.withColumns({"language": F.lit("x"), "_id": F.lit(1), "_hash": F.lit(2), "_copies": F.lit(3), "id": F.lit(4), "hash": F.lit(5)})
+    docs.write.parquet(f"{tmp_path}/sf/documents.parquet")
+    spark.createDataFrame([(1, leak), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/sf/benchmark.parquet")
+    folder = f"file://{tmp_path}/sf"
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        assert stage(spark, docs.limit(0), folder).count() == 0, name
+    assert sorted(x.doc_id for x in pipeline.near_duplicates(spark, docs.where("doc_id >= 20"), folder).collect()) == [*range(20, 32), 50, 52]
+    ids = {x.doc_id for x in pipeline.run(spark, folder).collect()}
+    assert ids and 51 not in ids and 52 not in ids and not ids & {1, 2, 3, 5}
+
+
 def test_pipeline_keeps_clean_documents(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
