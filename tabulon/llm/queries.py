@@ -92,4 +92,15 @@ SQL: dict[str, str] = {
         WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)
         GROUP BY source, lang, tokenizer
     """,
+    "op2_warc": """
+        WITH p AS (SELECT page_id, COALESCE(html, '') AS h FROM pages),
+        m AS (SELECT page_id, h, SHA1(h) AS x, MAX(page_id) OVER (PARTITION BY h) AS last FROM p),
+        d AS (
+            SELECT page_id, h, last, ARRAY_TO_STRING(LIST_TRANSFORM(RANGE(32), lambda i: SUBSTR('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                CAST((CAST('0x' || SUBSTR(x, CAST(i // 4 * 5 + 1 AS INTEGER), 5) AS BIGINT) >> CAST(15 - i % 4 * 5 AS INTEGER)) & 31 AS INTEGER) + 1, 1)), '') AS payload_digest
+            FROM m
+        )
+        SELECT page_id, CAST(STRLEN(h) AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to
+        FROM d
+    """,
 }

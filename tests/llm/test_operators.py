@@ -166,6 +166,10 @@ def test_torn_members_are_left_out():
     assert len(list(warc.scan(lambda at, n: data[at : at + n], 0, len(data)))) == 1
 
 
+def test_archives_equal_sql(spark):
+    assert not differences(spark, connection(FOLDER), FOLDER, QUERIES["op2_warc"], SQL["op2_warc"])
+
+
 def test_archive_round_trip(spark):
     pages = [(1, "http://a", "same"), (2, "http://b", "same"), (3, None, None), (4, "http://c\r\nx: y", "é" * 70_000), (5, "http://d", "same"), (6, "", "")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("sha", F.lit(1))
