@@ -138,3 +138,17 @@ def runs(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFr
             held.append(part)
     if held:
         yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+
+
+#: A-Z to a-z; what isn't a digit, a letter or beyond ASCII to a blank.
+_WORD_BYTES = bytes(ord(" ") if i < 0x30 or 0x3A <= i < 0x41 or 0x5B <= i < 0x61 or 0x7B <= i < 0x80 else i + 32 if 0x41 <= i < 0x5B else i for i in range(256))
+
+
+def word_lists(text: bytes, step: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a whole UTF-8 text in order, A-Z lower-cased, in lists from about ``step`` bytes each, so a long text needs no list of all."""
+    low, at = text.translate(_WORD_BYTES), 0
+    while at < len(low):
+        end = low.find(b" ", at + step)
+        end = len(low) if end < 0 else end
+        yield low[at:end].split()
+        at = end

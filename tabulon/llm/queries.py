@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from tabulon.llm.decontamination import find_leaks
 from tabulon.llm.embedding_dedup import near_vectors
+from tabulon.llm.fingerprints import edit_chain
 from tabulon.llm.jaccard_join import jaccard_components
 from tabulon.llm.language_id import held_out, identify
+from tabulon.llm.lexical_search import search
 from tabulon.llm.mixing import mix_documents
 from tabulon.llm.pii import find_personal_data
+from tabulon.llm.resampling import draw_ranks
 from tabulon.llm.sharding import shard_documents
 from tabulon.llm.token_counts import maintained_counts
 from tabulon.llm.url_filter import filter_urls
@@ -67,6 +70,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return draw_ranks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_chain(_table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_warc": op2_warc,
@@ -78,6 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_resampling": op11_resampling,
+    "op12_fingerprints": op12_fingerprints,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 SQL: dict[str, str] = {
@@ -103,4 +121,55 @@ SQL: dict[str, str] = {
         SELECT page_id, CAST(STRLEN(h) AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to
         FROM d
     """,
+    "op11_resampling": r"""
+        WITH table_ AS (
+            SELECT LIST_TRANSFORM(RANGE(256), lambda x: LIST_REDUCE(RANGE(8), lambda c, i: CASE WHEN c & 1 = 1 THEN XOR(c >> 1, 3988292384) ELSE c >> 1 END, x)) AS crc
+        ),
+        words AS (
+            SELECT 's' AS side, doc_id, UNNEST(REGEXP_EXTRACT_ALL(TRANSLATE(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM documents
+            UNION ALL
+            SELECT 't', item_id, UNNEST(REGEXP_EXTRACT_ALL(TRANSLATE(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark
+        ),
+        spelt AS (SELECT word, HEX(ENCODE(word)) AS h FROM (SELECT DISTINCT word FROM words)),
+        buckets AS (
+            SELECT word, XOR(LIST_REDUCE(LIST_TRANSFORM(RANGE(CAST(LENGTH(h) // 2 AS BIGINT)), lambda i: CAST(CAST('0x' || SUBSTR(h, CAST(2 * i + 1 AS INTEGER), 2) AS INTEGER) AS BIGINT)),
+                lambda c, b: XOR(c >> 8, crc[CAST(XOR(c, b) & 255 AS INTEGER) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % 10000 AS bucket
+            FROM spelt, table_
+        ),
+        counts AS (SELECT bucket, COUNT(*) FILTER (side = 's') AS s, COUNT(*) FILTER (side = 't') AS t FROM words JOIN buckets USING (word) GROUP BY bucket),
+        totals AS (SELECT CAST(SUM(s) AS DOUBLE) AS s_all, CAST(SUM(t) AS DOUBLE) AS t_all FROM counts),
+        gains AS (SELECT bucket, CAST(FLOOR(1000 * LN((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000)))) AS BIGINT) AS gain FROM counts, totals),
+        weights AS (
+            SELECT doc_id, COUNT(*) AS n_features, SUM(gain) AS total
+            FROM words JOIN buckets USING (word) JOIN gains USING (bucket) WHERE side = 's' GROUP BY doc_id
+        ),
+        scores AS (
+            SELECT d.doc_id, COALESCE(n_features, 0) AS n_features, CAST(COALESCE(FLOOR(total / n_features), 0) AS BIGINT) AS weight,
+                CAST(FLOOR(-1000 * LN(-LN((CAST('0x' || SUBSTR(SHA256('2024:' || d.doc_id), 1, 8) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS noise
+            FROM documents d LEFT JOIN weights w ON d.doc_id = w.doc_id
+        ),
+        places AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY n_features >= 20 ORDER BY weight + noise DESC, doc_id) AS place, COUNT(*) OVER (PARTITION BY n_features >= 20) AS n FROM scores)
+        SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, weight + noise AS score,
+            CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank
+        FROM places
+    """,
+    "op13_lexical_search": r"""
+        WITH words AS (
+            SELECT doc_id, UNNEST(REGEXP_EXTRACT_ALL(TRANSLATE(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+        ),
+        wanted AS (
+            SELECT DISTINCT item_id, UNNEST(REGEXP_EXTRACT_ALL(TRANSLATE(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+        ),
+        sizes AS (SELECT doc_id, COUNT(*) AS n FROM words GROUP BY doc_id),
+        totals AS (SELECT COUNT(*) AS n_all, CAST(SUM(n) AS BIGINT) AS l_all FROM sizes),
+        held AS (SELECT doc_id, term, COUNT(*) AS tf FROM words GROUP BY doc_id, term),
+        weights AS (SELECT term, CAST(FLOOR(1000 * LN((2 * n_all + 2) / (2 * COUNT(*) + 1))) AS BIGINT) AS w FROM held, totals GROUP BY term, n_all),
+        impacts AS (
+            SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_all) // l_all))) AS impact
+            FROM held JOIN sizes USING (doc_id) JOIN weights USING (term), totals
+        ),
+        scores AS (SELECT item_id, doc_id, CAST(SUM(impact) AS BIGINT) AS score FROM wanted JOIN impacts USING (term) GROUP BY item_id, doc_id),
+        places AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scores WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM places WHERE rank <= 10
+    """,
 }
