@@ -278,5 +278,5 @@ def edit_chain(docs: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
     closing = closing.groupBy("c.part").agg(F.first(F.struct("r.doc_id", "r.turn", "r.text")).alias("row")).select("part", "row.*", F.lit(True).alias("closing"))
     whole = place(rows).withColumn("closing", F.lit(False)).unionByName(closing)
     whole = whole.select("part", "closing", F.col("doc_id").isNull().alias("null"), F.coalesce("doc_id", F.lit(0)).alias("id"), "turn", "text")
-    dealt = whole.repartition(max(1, len(heads)), "part").sortWithinPartitions("part", "closing", "null", F.desc("id"), "turn")
+    dealt = whole.repartitionById(heads[-1][0] + 1, F.col("part")).sortWithinPartitions("part", "closing", "null", F.desc("id"), "turn")
     return dealt.drop("turn").mapInPandas(_chain, out)
