@@ -1,8 +1,8 @@
-"""Spreadsheet and CSV files as one table of cells; every file is read by one task, none by the driver.
+"""Spreadsheet and CSV files as one table of cells; a workbook is read by one task, a delimited file by many, none by the driver.
 
 A cell row is (file, sheet, row, col, text, number): blanks aren't rows, merged cells repeat their first cell's
 value, text is trimmed, number is null for cells that aren't numbers (truth values and dates among them). What
-can't be read becomes a row with a warning, so one bad file doesn't stop the others. A file has to fit a task.
+can't be read becomes a row with a warning, so one bad file doesn't stop the others. A workbook has to fit a task.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulon.tables import ship
+
 GRID = "file string, sheet string, row int, col int, text string, number double, warning string"
 # Suffixes and encodings in the order in which they are tried.
 WORKBOOKS, DELIMITED = ("xlsx", "xlsm"), ("csv", "txt")
@@ -52,6 +54,7 @@ def decode(content: bytes) -> str:
 
 
 def csv_cells(content: bytes) -> Iterator[tuple[int, int, str, float | None]]:
+    csv.field_size_limit(1 << 30)
     for r, line in enumerate(csv.reader(io.StringIO(decode(content), newline="")), 1):
         for c, value in enumerate(line, 1):
             if (found := coerce(value)) is not None:
@@ -137,24 +140,29 @@ def coerce_text(text: str) -> tuple[str, None] | None:
     return (text.strip(), None) if text.strip() else None
 
 
+def file_rows(name: str, content: bytes, only: set[str] | None = None) -> Iterator[tuple]:
+    """Rows of GRID for one file, of the sheets in ``only`` if given; whatever is wrong with it becomes a warning."""
+    stem, _, suffix = name.rpartition(".")
+    if suffix.lower() in UNREADABLE:
+        yield name, None, None, None, None, None, f"{suffix} files can't be read here; save as xlsx or csv"
+        return
+    rows: list[tuple] = []
+    try:
+        if suffix.lower() in DELIMITED:
+            rows = [(name, stem, *x, None) for x in (csv_cells(content) if only is None or stem in only else ())]
+        else:
+            book = Workbook(content)
+            rows = [(name, sheet, *x, None) for sheet, part in book.sheets if only is None or sheet in only for x in book.cells(part)]
+    except Exception as e:  # the others are read
+        rows = [(name, None, None, None, None, None, f"can't be opened: {type(e).__name__}: {e}")]
+    yield from rows
+
+
 def _read(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [x.split()[0] for x in GRID.split(", ")]
     for b in batches:
         for path, content in zip(b["path"], b["content"]):
-            name = path.rpartition("/")[2]
-            stem, _, suffix = name.rpartition(".")
-            rows: list[tuple] = []
-            if suffix.lower() in UNREADABLE:
-                rows.append((name, None, None, None, None, None, f"{suffix} files can't be read here; save as xlsx or csv"))
-            else:
-                try:
-                    if suffix.lower() in DELIMITED:
-                        rows = [(name, stem, *x, None) for x in csv_cells(bytes(content))]
-                    else:
-                        book = Workbook(bytes(content))
-                        rows = [(name, sheet, *x, None) for sheet, part in book.sheets for x in book.cells(part)]
-                except Exception as e:  # whatever is wrong with a file, the others are read
-                    rows = [(name, None, None, None, None, None, f"can't be opened: {type(e).__name__}: {e}")]
+            rows = list(file_rows(path.rpartition("/")[2], bytes(content)))
             yield pd.DataFrame(rows, columns=names).astype({"row": "Int32", "col": "Int32", "number": "Float64"})
 
 
@@ -164,11 +172,16 @@ def read_grid(spark: SparkSession, folder: str) -> DataFrame:
     ``warning`` is null in cells; other rows say which file couldn't be read and why. Raises if no file is readable by
     its suffix.
     """
+    from tabulon.sources.delimited import read_delimited
+
+    ship(spark)
     known = "|".join((*WORKBOOKS, *DELIMITED, *UNREADABLE))
     files = spark.read.format("binaryFile").load(folder).where(F.col("path").rlike(rf"(?i)/(?!~\$|%7E\$)[^/]*\.({known})$"))
-    if files.where(~F.col("path").rlike(rf"(?i)\.({'|'.join(UNREADABLE)})$")).select("path").isEmpty():
+    kinds = {r.kind for r in files.select(F.lower(F.regexp_extract("path", r"\.([^.]*)$", 1)).alias("kind")).distinct().collect()}
+    if kinds <= {*UNREADABLE}:
         raise FileNotFoundError(f"no file of {', '.join((*WORKBOOKS, *DELIMITED))} in {folder}")
-    return files.select("path", "content").repartition("path").mapInPandas(_read, GRID)
+    whole = files.where(~F.col("path").rlike(rf"(?i)\.({'|'.join(DELIMITED)})$")).select("path", "content").repartition("path").mapInPandas(_read, GRID)
+    return whole.unionByName(read_delimited(spark, folder)) if kinds & {*DELIMITED} else whole
 
 
 def cells_of(grid: DataFrame) -> DataFrame:

@@ -9,6 +9,9 @@ from tabulon.operators import catalog as C
 from tabulon.operators import dictionary as D
 from tabulon.sheet_queries import QUERIES, SQL, query
 from tabulon.sources import long_view as L
+from tabulon.sources import grid, sheets
+from tabulon.sources.delimited import read_delimited
+from tabulon.tables import fresh_folder
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -48,3 +51,31 @@ S(i, field, groups) AS (
 SELECT file, sheet, name AS canonical, field FROM S JOIN C ON C.i = S.i""")
 def field_dictionary(spark, folder):
     return D.field_dictionary(part_cards(spark, folder)).select("file", "sheet", "canonical", "field")
+
+
+# Files that Spark derives from the tables
+def order_notes(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as records with commas, quotes and line breaks in their fields."""
+    key = F.col("o_orderkey")
+    note = F.concat(F.lit('"'), "o_orderpriority", F.lit('",'), F.when(key % 3 == 0, "\n").when(key % 3 == 1, "\r\n").otherwise(" - "), F.lit("line "), key.cast("string"))
+    return L.table(spark, folder, "orders").select(key.cast("string").alias("o_orderkey"), F.format_number("o_totalprice", 2).alias("price"), note.alias("note"))
+
+
+@query("""SELECT CAST(o_orderkey AS DOUBLE) AS o_orderkey, o_totalprice AS price,
+'"' || o_orderpriority || '",' || CASE o_orderkey % 3 WHEN 0 THEN chr(10) WHEN 1 THEN chr(13) || chr(10) ELSE ' - ' END || 'line ' || o_orderkey AS note FROM orders""")
+def delimited_records(spark, folder):
+    path = fresh_folder(spark, "notes")
+    order_notes(spark, folder).write.option("escape", '"').option("ignoreLeadingWhiteSpace", "false").csv(path)
+    cells = sheets.cells_of(read_delimited(spark, path))
+    at = lambda k, c: F.max(F.when(F.col("col") == k, F.col(c)))
+    return cells.groupBy("file", "row").agg(at(1, "number").alias("o_orderkey"), at(2, "number").alias("price"), at(3, "text").alias("note")).drop("file", "row")
+
+
+@query("SELECT c_mktsegment AS segment, CAST(COUNT(*) AS BIGINT) AS n, CAST(SUM(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS value FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY c_mktsegment")
+def grid_source(spark, folder):
+    """Customers' balances from a file for each market segment, of which two are opened."""
+    path = fresh_folder(spark, "segments")
+    value = F.concat_ws(",", "c_custkey", F.col("c_acctbal").cast("decimal(18,2)").cast("string"))
+    L.table(spark, folder, "customer").select("c_mktsegment", value.alias("value")).write.partitionBy("c_mktsegment").text(path)
+    parts = [grid.load(spark, f"{path}/c_mktsegment={name}").where("col = 2").select(F.lit(name).alias("segment"), "number") for name in ("BUILDING", "MACHINERY")]
+    return parts[0].unionByName(parts[1]).groupBy("segment").agg(F.count("number").alias("n"), F.sum(F.col("number").cast("decimal(18,2)")).cast("double").alias("value"))

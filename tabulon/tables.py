@@ -1,22 +1,43 @@
-"""Tables that cut lineage between the steps of an iteration."""
+"""Tables that cut lineage between the steps of an iteration, and the folder that they and derived files go to."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+ROOT = str(Path(__file__).resolve().parents[1])
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever the driver was started."""
+    env = spark.sparkContext.environment
+    if ROOT not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(x for x in (env.get("PYTHONPATH", ""), ROOT) if x)
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the checkpoint folder, so that later steps and lost executors don't compute them again.
 
-    The folder is the session's (spark.checkpoint.dir or one set before); where there is none, a temporary one if all runs on
-    this machine, else an error, since executors have to share it.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder (spark.checkpoint.dir or one set before); where there is none, a temporary one if all runs on this machine.
+
+    Elsewhere that is an error, since executors have to share the folder.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         found = sc.getConf().get("spark.checkpoint.dir")
         if not found and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(found or f"file://{tempfile.mkdtemp(prefix='spark-')}")
+    return sc.getCheckpointDir()
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A path for derived files that nothing has been written to."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder, so that later steps and lost executors don't compute them again."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
