@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.model import AGGREGATE_ROLES, NA, PASSED, BlockError
+from tabulon.operators.running import running
 
 
 def require(df: DataFrame, *columns: str) -> None:
@@ -152,12 +153,20 @@ def join(a: DataFrame, b: DataFrame, on: str | list[str], how: str = "inner", su
 def cumulative_sum(df: DataFrame, value_col: str = "value", order_by: str = "period", within: Iterable[str] = (), ties: Iterable[str] = (), places: int | None = None) -> DataFrame:
     """Running sum row by row; a null value stays null and the sum goes on; null order keys come last.
 
-    Without ``within`` one task orders the table: meant for grouped series, one row for each period.
+    Without ``within`` the table is summed in ranges of its order, in many tasks; rows that are equal in order and ties come in an order by
+    all their columns.
     """
     require(df, value_col, order_by, *within, *ties)
-    w = Window.partitionBy(*within).orderBy(F.col(order_by).asc_nulls_last(), *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     v = present(F.col(value_col))
-    return df.withColumn("cumulative", F.when(v.isNotNull(), F.sum(v).over(w) if places is None else F.sum(v.cast(f"decimal(28,{places})")).over(w).cast("double")))
+    v = v if places is None else v.cast(f"decimal(28,{places})")
+    if within:
+        w = Window.partitionBy(*within).orderBy(F.col(order_by).asc_nulls_last(), *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        total_ = F.sum(v).over(w)
+    else:
+        key = F.struct(F.col(order_by).isNull().alias("k0"), F.col(order_by).alias("k1"), *(F.col(t).alias(f"t{i}") for i, t in enumerate(ties)), F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)).alias("h"))
+        df, total_ = running(df.withColumns({"_key": key, "_v": v}), ["_v"], key="_key"), F.col("_v_upto")
+    out = df.withColumn("cumulative", F.when(v.isNotNull(), total_ if places is None else total_.cast("double")))
+    return out.drop("_key", "_v", "_v_upto")
 
 
 #: What recipes may name.

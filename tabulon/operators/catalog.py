@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions import scalar as S
+from tabulon.operators.firsts import first_values
+from tabulon.operators.medians import middles
+from tabulon.tables import cut, meet
 
 FIELD = ["file", "sheet", "canonical", "dimension"]
 # Thresholds of confidence and of merging names.
@@ -14,12 +17,10 @@ FEW_VALUES, SAMPLES, SAME_NAME, SAME_KIND = 3, 3, 92.0, 0.7
 
 
 def profile_struct(value: Column) -> Column:
-    """Count, range, median, wholeness, magnitude and signs of a column's values, as one aggregate; sizes are absolute."""
-    size = F.median(F.abs(value))
+    """Count, range, wholeness and signs of a column's values, as one aggregate; sizes are absolute."""
     return F.struct(
-        F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.median(value).alias("median"), F.bool_and(value == F.floor(value)).alias("whole"),
+        F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.bool_and(value == F.floor(value)).alias("whole"),
         F.bool_and(F.abs(value) <= 100).alias("percent_like"), F.coalesce(F.bool_or(value < 0), F.lit(False)).alias("negative"),
-        F.when(size > 0, F.log10(size).cast("int")).otherwise(0).alias("magnitude"),
     )
 
 
@@ -46,11 +47,12 @@ def field_cards(long: DataFrame) -> DataFrame:
     Columns: FIELD, aggregation_role, unit, confidence, decision (auto, flagged or review), cell_range, n, low, high,
     samples (the first values by row), notes.
     """
-    v, at = F.col("value"), F.struct("row", "col")
-    first = F.when(v.isNotNull(), F.struct("row", "col", F.round(v, 4).alias("v")))
-    cards = long.groupBy(*FIELD, "aggregation_role").agg(
-        profile_struct(v).alias("p"), F.min(F.struct("row", "col")).alias("from"), F.max(at).alias("to"), F.slice(F.sort_array(F.collect_list(first)), 1, SAMPLES).alias("s")
-    )
+    keys, v, at = [*FIELD, "aggregation_role"], F.col("value"), F.struct("row", "col")
+    rows = cut(long.select(*keys, "value", "row", "col"))
+    cards = rows.groupBy(*keys).agg(profile_struct(v).alias("p"), F.min(at).alias("from"), F.max(at).alias("to"))
+    cards = meet(meet(cards, middles(rows, keys), keys), first_values(rows.where(v.isNotNull()), keys, ["row", "col"], F.round(v, 4), SAMPLES, "s"), keys, "left")
+    magnitude = F.when(F.col("size") > 0, F.log10("size").cast("int")).otherwise(0)
+    cards = cards.withColumns({"p": F.struct("p.*", "median", magnitude.alias("magnitude")), "samples": F.coalesce("s", F.array().cast("array<double>"))})
     cards = cards.withColumn("u", inferred_unit(F.col("dimension"), F.concat_ws(" ", "sheet", "file"), F.col("p")))
     sure, n = confidence(F.col("u.reliability"), F.col("p.n")), F.col("p.n")
     notes = F.filter(F.array(
@@ -60,7 +62,7 @@ def field_cards(long: DataFrame) -> DataFrame:
     cell = lambda k: S.a1(F.col(f"{k}.row"), F.col(f"{k}.col"))
     return cards.select(
         *FIELD, "aggregation_role", "u.unit", sure.alias("confidence"), F.when(sure >= AUTO, "auto").when(sure >= LEAST, "flagged").otherwise("review").alias("decision"),
-        F.concat(cell("from"), F.lit(":"), cell("to")).alias("cell_range"), "p.n", "p.low", "p.high", F.transform("s", lambda x: x["v"]).alias("samples"), notes.alias("notes"), F.col("p").alias("profile"),
+        F.concat(cell("from"), F.lit(":"), cell("to")).alias("cell_range"), "p.n", "p.low", "p.high", "samples", notes.alias("notes"), F.col("p").alias("profile"),
     )
 
 

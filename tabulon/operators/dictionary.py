@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions import scalar as S
 from tabulon.operators.catalog import FIELD, SAME_KIND, SAME_NAME, compatibility
-from tabulon.tables import cut
+from tabulon.tables import cut, discard
 
 #: What the profile of a card says to ``compatibility``.
 PROFILE = ("n", "magnitude", "percent_like", "whole")
@@ -94,13 +94,17 @@ def field_dictionary(cards: DataFrame, order: tuple[str, ...] = FIELD) -> DataFr
     other = kinds.select(F.col("name").alias("other"), F.col("kind").alias("other_kind"))
     edges = kinds.join(both, F.col("name") == F.col("a")).join(other, F.col("b") == F.col("other")).select("name", "kind", "other", "other_kind", _like(F.col("kind"), F.col("other_kind")).alias("fits"))
     edges = cut(edges.where(F.col("fits") | (F.col("name") == F.col("other"))))
-    left, done = rows, rows.where("false").withColumns({"key": F.lit(""), "leads": F.lit(False)})
+    left, done = rows, cut(rows.where("false").withColumns({"key": F.lit(""), "leads": F.lit(False)}))
+    old = []
     while True:
         now = cut(_settle(left, done, edges))
-        done = cut(done.unionByName(now.where("key IS NOT NULL")))
+        before, done = done, cut(done.unionByName(now.where("key IS NOT NULL")))
         left = now.where("key IS NULL").select(*rows.columns)
+        discard(before, *old)
+        old = [now]
         if left.isEmpty():
             break
+    discard(edges, now)
     field = F.when(F.col("key") != "", F.expr("substring(key, 2)"))
     found = done.select(F.col("turn").alias("_of"), field.alias("field"))
     return keyed.join(found, F.col("_turn").eqNullSafe(F.col("_of"))).select(*cards.columns, "field")

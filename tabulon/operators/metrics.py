@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.operators.blocks import exclude_aggregates, growth_rate, ratio, total
+from tabulon.operators.medians import medians
+from tabulon.tables import meet
 
 
 def market_total(df: DataFrame, by: list[str], places: int | None = None) -> DataFrame:
@@ -58,8 +60,12 @@ def unique_ranking(df: DataFrame, by: list[str], ties: list[str], top: int | Non
 
 def quadrants(df: DataFrame, x: str, y: str, by: list[str], how: str = "median") -> DataFrame:
     """Each row's quadrant by whether x and y reach their group's median or mean."""
-    f, w = F.median if how == "median" else F.avg, Window.partitionBy(*by)
-    rows = df.withColumns({"x_cut": f(x).over(w), "y_cut": f(y).over(w)})
+    if how == "median":
+        rows = df
+        for c, cut_name in ((x, "x_cut"), (y, "y_cut")):
+            rows = meet(rows, medians(df, by, c, cut_name).drop("n"), by)
+    else:
+        rows = meet(df, df.groupBy(*by).agg(F.avg(x).alias("x_cut"), F.avg(y).alias("y_cut")), by)
     high_x, high_y = F.col(x) >= F.col("x_cut"), F.col(y) >= F.col("y_cut")
     name = F.when(high_x & high_y, "large_growing").when(high_x, "large_slow").when(high_y, "small_growing").otherwise("small_slow")
     return rows.withColumn("quadrant", F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), name))

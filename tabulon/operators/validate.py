@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tabulon.model import FAILED, NA, PASSED
 from tabulon.operators.blocks import total
+from tabulon.operators.medians import middles
+from tabulon.tables import meet
 
 # Units of percentages, and units whose values can't be negative.
 PERCENT = ("%", "percent", "百分比")
@@ -67,10 +69,11 @@ def share_sums(shares: DataFrame, by: list[str], tolerance: float = 0.5, places:
 def numeric_profile(df: DataFrame, by: list[str]) -> DataFrame:
     """Count, range, median, whether all are whole or within -100..100, magnitude and whether any is negative."""
     v = F.col("value")
-    out = df.where(v.isNotNull()).groupBy(*by).agg(
-        F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), F.median(v).alias("median"), F.median(F.abs(v)).alias("size"),
-        F.bool_and(v == F.floor(v)).alias("whole"), F.bool_and(F.abs(v) <= 100).alias("percent_like"), F.bool_or(v < 0).alias("negative"),
+    rows = df.where(v.isNotNull())
+    out = rows.groupBy(*by).agg(
+        F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), F.bool_and(v == F.floor(v)).alias("whole"), F.bool_and(F.abs(v) <= 100).alias("percent_like"), F.bool_or(v < 0).alias("negative"),
     )
+    out = meet(out, middles(rows, by), by)
     magnitude = F.when(F.col("size") > 0, F.floor(F.log10("size"))).otherwise(0).cast("long")
     return out.withColumn("magnitude", magnitude).drop("size")
 

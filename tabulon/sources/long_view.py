@@ -13,31 +13,36 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def revenue(spark: SparkSession, folder: str, monthly: bool = False) -> DataFrame:
-    """(period, r_name, n_name, n_nationkey, r_regionkey, v): revenue of suppliers' nations; dimension tables join after the first sum."""
+    """(period, r_name, n_name, n_nationkey, r_regionkey, level, v): revenue of suppliers' nations, of regions and of all, in one aggregate.
+
+    level: 0 for a nation, 1 for a region, 2 for all. Dimension tables join after the first sum.
+    """
     when = F.year("l_shipdate") * 100 + F.month("l_shipdate") if monthly else F.year("l_shipdate")
     v = F.col("l_extendedprice").cast(MONEY) * (F.lit(1) - F.col("l_discount").cast(MONEY))
     sums = table(spark, folder, "lineitem").groupBy(when.alias("period"), "l_suppkey").agg(F.sum(v).alias("v"))
     place = table(spark, folder, "nation").join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     rows = sums.join(table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(place, F.col("s_nationkey") == F.col("n_nationkey"))
-    return rows.groupBy("period", "r_name", "n_name", "n_nationkey", "r_regionkey").agg(F.sum("v").alias("v"))
+    period, region, nation = ["period"], ["r_name", "r_regionkey"], ["n_name", "n_nationkey"]
+    found = rows.groupingSets([period + region + nation, period + region, period], *period, *region, *nation).agg(F.sum("v").alias("v"), F.grouping_id().alias("g"))
+    return found.withColumn("level", F.when(F.col("g") == 0, 0).when(F.col("g") == 0b00011, 1).otherwise(2)).drop("g")
 
 
-def _long(rows: DataFrame, canonical, dimension, sheet, col, role: str, file: str = "lineitem") -> DataFrame:
+def _long(rows: DataFrame, canonical, dimension, sheet, col, role, file: str = "lineitem") -> DataFrame:
     return rows.select(
         F.col("period").cast("int").alias("period"), canonical.alias("canonical"), dimension.alias("dimension"), F.col("v").cast("double").alias("value"),
-        F.lit(file).alias("file"), sheet.alias("sheet"), (F.col("period") % 100 + 3).cast("int").alias("row"), col.cast("int").alias("col"), F.lit(role).alias("aggregation_role"),
+        F.lit(file).alias("file"), sheet.alias("sheet"), (F.col("period") % 100 + 3).cast("int").alias("row"), col.cast("int").alias("col"), role.alias("aggregation_role"),
     )
 
 
 def sales(spark: SparkSession, folder: str, monthly: bool = False) -> DataFrame:
     """Revenue by period and nation, with a subtotal for each region and a total."""
-    base = revenue(spark, folder, monthly)
-    detail = _long(base, F.concat(F.lit("revenue_"), "n_name"), F.concat("r_name", F.lit(" > "), "n_name"), F.col("r_name"), F.col("n_nationkey") + 2, "detail")
-    part = base.groupBy("period", "r_name", "r_regionkey").agg(F.sum("v").alias("v"))
-    subtotal = _long(part, F.concat(F.lit("revenue_"), "r_name", F.lit("_subtotal")), F.concat("r_name", F.lit(" > subtotal")), F.col("r_name"), F.col("r_regionkey") + 100, "subtotal")
-    whole = base.groupBy("period").agg(F.sum("v").alias("v"))
-    total = _long(whole, F.lit("revenue_total"), F.lit("total"), F.lit("all"), F.lit(200), "total")
-    return detail.unionByName(subtotal).unionByName(total)
+    level, region = F.col("level"), F.col("r_name")
+    by_level = lambda *xs: F.when(level == 0, xs[0]).when(level == 1, xs[1]).otherwise(xs[2])
+    return _long(
+        revenue(spark, folder, monthly), by_level(F.concat(F.lit("revenue_"), "n_name"), F.concat(F.lit("revenue_"), region, F.lit("_subtotal")), F.lit("revenue_total")),
+        by_level(F.concat(region, F.lit(" > "), "n_name"), F.concat(region, F.lit(" > subtotal")), F.lit("total")), by_level(region, region, F.lit("all")),
+        by_level(F.col("n_nationkey") + 2, F.col("r_regionkey") + 100, F.lit(200)), by_level(F.lit("detail"), F.lit("subtotal"), F.lit("total")),
+    )
 
 
 def orders(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,7 +50,7 @@ def orders(spark: SparkSession, folder: str) -> DataFrame:
     sums = table(spark, folder, "orders").groupBy(F.year("o_orderdate").alias("period"), "o_custkey").agg(F.sum(F.col("o_totalprice").cast(MONEY)).alias("v"))
     rows = sums.join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     rows = rows.join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("period", "r_name", "n_name", "n_nationkey").agg(F.sum("v").alias("v"))
-    return _long(rows, F.concat(F.lit("revenue_"), "n_name"), F.concat("r_name", F.lit(" > "), "n_name"), F.col("r_name"), F.col("n_nationkey") + 2, "detail", "orders")
+    return _long(rows, F.concat(F.lit("revenue_"), "n_name"), F.concat("r_name", F.lit(" > "), "n_name"), F.col("r_name"), F.col("n_nationkey") + 2, F.lit("detail"), "orders")
 
 
 SHEETS_FILE = "表1-1-arrivals.xlsx"
