@@ -6,6 +6,7 @@ which is exact whatever the order in which partial sums meet; null sums doubles.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,16 +27,13 @@ def present(value: Column) -> Column:
     return F.nanvl(value.cast("double"), F.lit(None).cast("double"))
 
 
+def _among(c: Column, values: object) -> Column:
+    return c.isin(list(values) if isinstance(values, (list, tuple, set)) else [values])
+
+
 OPERATORS: dict[str, Callable[[Column, object], Column]] = {
-    "==": lambda c, v: c == v,
-    "!=": lambda c, v: F.coalesce(c != v, F.lit(True)),
-    ">": lambda c, v: c > v,
-    ">=": lambda c, v: c >= v,
-    "<": lambda c, v: c < v,
-    "<=": lambda c, v: c <= v,
-    "in": lambda c, v: c.isin(list(v) if isinstance(v, (list, tuple, set)) else [v]),
-    "contains": lambda c, v: c.cast("string").contains(str(v)),
-    "matches": lambda c, v: c.cast("string").rlike(str(v)),
+    "==": operator.eq, "!=": lambda c, v: F.coalesce(c != v, F.lit(True)), ">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le,
+    "in": _among, "contains": lambda c, v: c.cast("string").contains(str(v)), "matches": lambda c, v: c.cast("string").rlike(str(v)),
 }
 
 

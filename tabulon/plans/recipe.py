@@ -17,8 +17,9 @@ from tabulon.operators.validate import NON_NEGATIVE, PERCENT, sanity
 DATASET = "dataset"
 #: Blocks that leave subtotals and totals out by default.
 DETAIL = ("group_sum", "group_mean", "pivot")
-#: Columns that a step of a planner that isn't trusted may filter on.
+# Columns that a step of a planner that isn't trusted may filter on.
 ADVERTISED = ("file", "canonical", "period", "aggregation_role")
+# What a recipe has to state.
 REQUIRED = ("metric_id", "metric_name", "unit", "period", "assumption_statement", "steps", "output")
 
 
@@ -165,15 +166,18 @@ def compile_recipe(recipe: Recipe, dataset: DataFrame) -> DataFrame:
     else:
         none = F.array().cast("array<string>")
         out = out.withColumns({"mixed": none, "sources": F.array().cast("array<struct<file:string,sheet:string,range:string>>"), "cells": none})
-    issues = F.concat("mixed", metric_issues(F.col("value"), F.lit(recipe.unit), F.lit(recipe.is_share), PERCENT, NON_NEGATIVE))
-    checked = sanity(F.col("value"), F.lit(recipe.unit), F.lit(recipe.is_share))
-    status = F.when(F.size("mixed") > 0, FAILED).when(F.col("value").isNull() | (F.col("status") == NA), NA).when(checked == FAILED, FAILED).otherwise(PASSED)
-    about = {"metric_name": recipe.metric_name, "unit": recipe.unit, "period": recipe.period, "assumption": recipe.assumption_statement}
-    out = out.withColumns({k: F.lit(v).cast("int" if k == "period" else "string") for k, v in about.items()})
-    steps = F.array(*(F.lit(x) for x in chain[recipe.output]))
+    about = {"metric_name": recipe.metric_name, "unit": recipe.unit, "period": recipe.period, "assumption": recipe.assumption_statement, "is_share": recipe.is_share}
+    out = out.withColumns({k: F.lit(v).cast({"period": "int", "is_share": "boolean"}.get(k, "string")) for k, v in about.items()})
+    return judged(out.withColumns({"metric_id": F.lit(recipe.metric_id), "blocks": F.array(*(F.lit(x) for x in chain[recipe.output]))}))
+
+
+def judged(out: DataFrame) -> DataFrame:
+    """METRIC rows of values with status, reason, mixed and what is known of the recipe: issues listed, status settled."""
+    value, unit, share = F.col("value"), F.col("unit"), F.col("is_share")
+    issues = F.concat("mixed", metric_issues(value, unit, share, PERCENT, NON_NEGATIVE))
+    status = F.when(F.size("mixed") > 0, FAILED).when(value.isNull() | (F.col("status") == NA), NA).when(sanity(value, unit, share) == FAILED, FAILED).otherwise(PASSED)
     return out.select(
-        F.lit(recipe.metric_id).alias("metric_id"), "metric_name", "value", "unit", "period", status.alias("status"), "reason", issues.alias("issues"), "assumption",
-        steps.alias("blocks"), "sources", "cells",
+        "metric_id", "metric_name", "value", "unit", "period", status.alias("status"), "reason", issues.alias("issues"), "assumption", "blocks", "sources", "cells",
     )
 
 
@@ -183,14 +187,21 @@ def detail(df: DataFrame) -> DataFrame:
 
 
 def compile_all(recipes: list[dict], dataset: DataFrame, fields: set[str] | None = None) -> tuple[DataFrame | None, list[tuple[str, str]]]:
-    """Metrics of all valid recipes as one plan, and (metric_id, reason) of those refused."""
-    rows, refused = [], []
+    """Metrics of all valid recipes, and (metric_id, reason) of those refused. Recipes that ``batch`` takes share one scan, others have a plan each."""
+    from tabulon.plans import batch
+
+    rows, refused, many = [], [], []
     for data in recipes:
         try:
             r = Recipe.parse(data)
             if fields is not None:
                 check_fields(r, fields)
-            rows.append(compile_recipe(r, dataset))
+            if batch.takes(r, dataset):
+                many.append(r)
+            else:
+                rows.append(compile_recipe(r, dataset))
         except ExecutionError as e:
             refused.append((str(data.get("metric_id")), str(e)))
+    if many:
+        rows.append(batch.compile_batch(many, dataset))
     return (reduce(DataFrame.unionByName, rows) if rows else None), refused
