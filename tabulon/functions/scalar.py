@@ -156,7 +156,7 @@ def legacy_display(value: Column, unit: Column) -> Column:
 
 def number(text: Column) -> Column:
     """A cell as a number: thousands commas go, (1,234) is negative; null for blanks and other text."""
-    bare = F.regexp_replace(F.trim(text), ",", "")
+    bare = F.regexp_replace(text, r"(?U)^\s+|\s+$|,", "")
     inner = F.regexp_extract(bare, r"^\((.*)\)$", 1)
     plain = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
     return F.when(inner.rlike(plain), -inner.try_cast("double")).when(bare.rlike(plain), bare.try_cast("double"))

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 # Words that compare two percentages.
 HIGHER, LOWER = ("高於", "大於", "超過", "higher than"), ("低於", "小於", "不及", "lower than")
+# The layouts that every deck has to have, those that analyse, and those of the latter that sum up others.
+REQUIRED_PAGES = ("executive_summary", "strategy")
+ANALYSIS = ("trend_chart", "ranking_chart", "scatter_chart", "comparison_chart", "stacked_chart", "risk_chart", "executive_summary", "strategy")
+SUMMARIES = ("strategy", "executive_summary")
 
 
 def status_counts(metrics: DataFrame) -> DataFrame:
@@ -88,3 +92,34 @@ def known_evidence(insights: DataFrame, metrics: DataFrame) -> DataFrame:
     each = insights.select("id", F.posexplode(F.array_distinct("evidence")).alias("at", "metric_id")).join(metrics.select("metric_id"), "metric_id", "left_semi")
     kept = each.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "metric_id"))), lambda x: x["metric_id"]).alias("evidence"))
     return insights.drop("evidence").join(kept, "id")
+
+
+def complete_decks(slides: DataFrame, required: tuple[str, ...] = REQUIRED_PAGES) -> DataFrame:
+    """(deck): decks of slides (deck, layout) that have a slide of every required layout."""
+    found = slides.where(F.col("layout").isin(*required)).groupBy("deck").agg(F.count_distinct("layout").alias("n"))
+    return found.where(F.col("n") == len(set(required))).select("deck")
+
+
+def structure_issues(slides: DataFrame, pages: int | None = None, required: tuple[str, ...] = REQUIRED_PAGES) -> DataFrame:
+    """(deck, issue, detail): page_count, with the number of slides where it isn't ``pages``, and missing_page, with each required layout that a deck lacks."""
+    has = [F.bool_or(F.coalesce(F.col("layout") == x, F.lit(False))).alias(f"has{i}") for i, x in enumerate(required)]
+    decks = slides.groupBy("deck").agg(F.count(F.lit(1)).alias("n"), *has)
+    issue = lambda name, detail: F.struct(F.lit(name).alias("issue"), detail.alias("detail"))
+    found = [F.when(F.col("n") != pages, issue("page_count", F.col("n").cast("string")))] if pages is not None else []
+    found += [F.when(~F.col(f"has{i}"), issue("missing_page", F.lit(x))) for i, x in enumerate(required)]
+    return decks.select("deck", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("i")).select("deck", "i.*")
+
+
+def weak_insights(slides: DataFrame) -> DataFrame:
+    """(deck, slide, issue) of slides (deck, slide, layout, headline, insights of (text, evidence)) that analyse.
+
+    no_insight (not asked of strategy), no_headline, and no_evidence for each insight without any, which summaries may lack.
+    """
+    pages = slides.where(F.col("layout").isin(*ANALYSIS))
+    none = F.coalesce(F.size("insights"), F.lit(0)) <= 0
+    bare = F.filter(F.coalesce("insights", F.array().cast(slides.schema["insights"].dataType)), lambda x: F.coalesce(F.size(x["evidence"]), F.lit(0)) <= 0)
+    issues = F.concat(
+        F.filter(F.array(F.when(none & (F.col("layout") != "strategy"), "no_insight"), F.when(F.coalesce(F.col("headline"), F.lit("")) == "", "no_headline")), lambda x: x.isNotNull()),
+        F.when(F.col("layout").isin(*SUMMARIES), F.array().cast("array<string>")).otherwise(F.transform(bare, lambda _: F.lit("no_evidence"))),
+    )
+    return pages.select("deck", "slide", F.explode(issues).alias("issue"))

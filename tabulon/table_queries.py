@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulon.functions import scalar as S
+from tabulon.operators import blocks as B
 from tabulon.operators import catalog as C
 from tabulon.operators import dictionary as D
+from tabulon.operators import review as R
+from tabulon.operators import running as N
+from tabulon.operators import validate as V
+from tabulon.operators.medians import medians
+from tabulon.plans.recipe import compile_all
+from tabulon.queries import _D, _SUM, _WITH, P
 from tabulon.sheet_queries import QUERIES, SQL, query
+from tabulon.sources import grid, legacy, sheets
 from tabulon.sources import long_view as L
-from tabulon.sources import grid, sheets
 from tabulon.sources.delimited import read_delimited
-from tabulon.tables import fresh_folder
+from tabulon.tables import cut, fresh_folder
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -79,3 +87,245 @@ def grid_source(spark, folder):
     L.table(spark, folder, "customer").select("c_mktsegment", value.alias("value")).write.partitionBy("c_mktsegment").text(path)
     parts = [grid.load(spark, f"{path}/c_mktsegment={name}").where("col = 2").select(F.lit(name).alias("segment"), "number") for name in ("BUILDING", "MACHINERY")]
     return parts[0].unionByName(parts[1]).groupBy("segment").agg(F.count("number").alias("n"), F.sum(F.col("number").cast("decimal(18,2)")).cast("double").alias("value"))
+
+
+# Scalar functions over columns of the tables
+def _parts(spark: SparkSession, folder: str) -> DataFrame:
+    return L.table(spark, folder, "part")
+
+
+def _customers(spark: SparkSession, folder: str) -> DataFrame:
+    return L.table(spark, folder, "customer").withColumn("b", F.col("c_acctbal").cast("decimal(18,2)"))
+
+
+def _pick(key, *cases):
+    """The case that the key's remainder names."""
+    out = F.when(key == 0, cases[0])
+    for i, c in enumerate(cases[1:], 1):
+        out = out.when(key == i, c)
+    return out
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN CAST(b AS DOUBLE) WHEN 1 THEN CAST(-abs(b) AS DOUBLE) WHEN 2 THEN CAST(b AS DOUBLE) WHEN 5 THEN CAST(abs(b) AS DOUBLE) WHEN 6 THEN floor(c_acctbal) * 1000 END AS value
+FROM (SELECT *, CAST(c_acctbal AS DECIMAL(18,2)) AS b FROM customer)""")
+def cell_coercion(spark, folder):
+    b, plain = F.col("b"), F.col("b").cast("string")
+    size = F.abs(b)
+    text = _pick(
+        F.col("c_custkey") % 8, F.format_number(b, 2), F.concat(F.lit("("), F.format_number(size, 2), F.lit(")")), F.concat(F.lit("  "), plain, F.lit("\t")), F.concat(plain, F.lit("年")),
+        F.lit(" "), F.concat(F.lit("+"), size.cast("string")), F.concat(F.floor("c_acctbal").cast("string"), F.lit("e3")), F.concat(F.lit("("), F.col("c_name"), F.lit(")")),
+    )
+    return _customers(spark, folder).select("c_custkey", (S.number(text) + F.lit(0.0)).alias("value"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 7 <> 5 THEN CAST(1950 + c_custkey % 60 AS INTEGER) END AS year FROM customer")
+def year_cases(spark, folder):
+    ad = (F.col("c_custkey") % 60 + 1950).cast("int")
+    roc, key = (ad - 1911).cast("string"), F.col("c_custkey") % 7
+    ad_text = ad.cast("string")
+    text = _pick(key, F.concat(ad_text, F.lit("年")), F.concat(roc, F.lit(" 年")), F.concat(roc, F.lit("年"), ad_text), F.concat(F.lit("民國"), roc, F.lit("年")), ad_text, F.concat(F.lit("p "), ad_text, F.lit(" p")), F.lit("x"))
+    return _customers(spark, folder).select("c_custkey", S.year_of(text, F.when(key == 6, ad.cast("double"))).alias("year"))
+
+
+@query("""SELECT c_custkey, CASE WHEN k <> 4 THEN y END AS year, CASE WHEN k IN (0, 1, 3) THEN y * 100 + m END AS month
+FROM (SELECT c_custkey, c_custkey % 5 AS k, CAST(2011 + c_custkey % 20 AS INTEGER) AS y, CAST(1 + c_custkey % 12 AS INTEGER) AS m FROM customer)""")
+def period_code_cases(spark, folder):
+    y, m, key = (F.col("c_custkey") % 20 + 2011).cast("int"), (F.col("c_custkey") % 12 + 1).cast("int"), F.col("c_custkey") % 5
+    roc, ad = (y - 1911) * 100 + m, y * 100 + m
+    text = _pick(key, roc.cast("string"), F.concat(F.lit(" "), ad.cast("string")), y.cast("string"), F.lit("x"), (y * 100 + 13).cast("string"))
+    code = S.period_code(text, F.when(key == 3, roc.cast("double")))
+    return _customers(spark, folder).select("c_custkey", code["year"].alias("year"), code["month"].alias("month"))
+
+
+@query("""SELECT p_partkey, CASE k WHEN 0 THEN '% 1.0' WHEN 1 THEN '人次 1.0' WHEN 2 THEN '美元 1.0' WHEN 3 THEN '夜 1.0' WHEN 4 THEN '元 1.0' ELSE
+  CASE WHEN p_partkey % 2 = 0 THEN '人次 0.95' WHEN small AND NOT whole THEN '% 0.8' WHEN whole AND magnitude >= 3 THEN '整數計數 0.7' ELSE '未知 0.3' END END AS unit
+FROM (SELECT p_partkey, p_size % 6 AS k, p_retailprice <= 1000 AS small, p_retailprice = floor(p_retailprice) AS whole, trunc(log10(p_retailprice)) AS magnitude FROM part)""")
+def unit_inference(spark, folder):
+    price, name = F.col("p_retailprice"), F.col("p_name")
+    text = _pick(F.col("p_size") % 6, F.concat(F.lit("成長率 "), name), F.concat(name, F.lit(" visitors")), F.concat(name, F.lit(" US$")), F.concat(F.lit("Nights "), name), F.concat(name, F.lit("金額")), name)
+    context = F.when(F.col("p_partkey") % 2 == 0, "歷年來臺旅客").otherwise(F.col("p_brand"))
+    profile = F.struct(F.lit(1).alias("n"), (price == F.floor(price)).alias("whole"), (price <= 1000).alias("percent_like"), F.log10(price).cast("int").alias("magnitude"))
+    unit = C.inferred_unit(text, context, profile)
+    return _parts(spark, folder).select("p_partkey", F.concat_ws(" ", unit["unit"], unit["reliability"].cast("string")).alias("unit"))
+
+
+@query("SELECT p_partkey, CASE p_size % 7 WHEN 0 THEN 'subtotal' WHEN 1 THEN 'total' WHEN 2 THEN 'residual' WHEN 3 THEN 'subtotal' WHEN 4 THEN 'total' ELSE 'detail' END AS role FROM part")
+def role_inference(spark, folder):
+    name = F.col("p_name")
+    label = _pick(F.col("p_size") % 7, F.concat(name, F.lit(" Sub-Total")), F.concat(F.lit("Grand Total, "), name), F.concat(F.lit("其他 "), name), F.concat(name, F.lit("小計")), F.concat(name, F.lit("合計")), name, F.concat(F.lit("mother "), name))
+    return _parts(spark, folder).select("p_partkey", S.role_of(label).alias("role"))
+
+
+@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN '地區' || p_size WHEN 1 THEN p_name ELSE '美國' END AS part FROM part")
+def chinese_part(spark, folder):
+    text = _pick(F.col("p_size") % 3, F.concat(F.lit("地區"), F.col("p_size").cast("string"), F.lit(" "), F.col("p_name")), F.col("p_name"), F.concat(F.lit("  美國\n "), F.col("p_name")))
+    return _parts(spark, folder).select("p_partkey", S.chinese_part(text).alias("part"))
+
+
+@query("SELECT p_partkey, CASE p_size % 4 WHEN 3 THEN p_brand ELSE p_name END AS concept FROM part")
+def measure_concept(spark, folder):
+    size, name = F.col("p_size").cast("string"), F.col("p_name")
+    sheet = _pick(F.col("p_size") % 4, F.concat(F.lit("表"), size, F.lit("-3-歷年"), name, F.lit("按國籍分")), F.concat(F.lit("歷年"), name, F.lit("-按月")), name, F.lit(""))
+    return _parts(spark, folder).select("p_partkey", S.concept(sheet, F.concat("p_brand", F.lit(".xlsx"))).alias("concept"))
+
+
+@query("SELECT p_brand, p_size, CAST(n AS BIGINT) AS n, CASE WHEN n = 0 THEN 0.2 WHEN n < 3 THEN least(r * 0.9, 0.55) ELSE r * 0.9 END AS confidence FROM (SELECT p_brand, p_size, COUNT(*) FILTER (WHERE p_partkey % 3 > 0) AS n, CASE WHEN p_size % 2 = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS r FROM part GROUP BY ALL)")
+def confidence_cases(spark, folder):
+    rows = _parts(spark, folder).groupBy("p_brand", "p_size").agg(F.count_if(F.col("p_partkey") % 3 > 0).alias("n"))
+    return rows.withColumn("confidence", C.confidence(F.when(F.col("p_size") % 2 == 0, 1.0).otherwise(0.5), F.col("n")))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'N/A' WHEN c_mktsegment = 'BUILDING' THEN format('{:,.2f}', c_acctbal) || '%' WHEN abs(c_acctbal) >= 1000 THEN format('{:,.0f}', c_acctbal) ELSE format('{:,.2f}', c_acctbal) END AS text FROM customer""")
+def display_format(spark, folder):
+    unit = F.when(F.col("c_mktsegment") == "BUILDING", "百分比").otherwise("元")
+    return _customers(spark, folder).select("c_custkey", S.display(F.when(F.col("c_custkey") % 10 != 0, F.col("c_acctbal")), unit).alias("text"))
+
+
+@query("""SELECT c_custkey, CASE k WHEN 0 THEN 'N/A' WHEN 1 THEN printf('%.2f', v) || '%' ELSE CASE WHEN abs(v) >= 1e8 THEN printf('%.2f', v / 1e8) || ' 億元' WHEN abs(v) >= 1e4 THEN printf('%.1f', v / 1e4) || ' 萬元' ELSE format('{:,.0f}', v) || ' 元' END END AS text
+FROM (SELECT c_custkey, c_custkey % 5 AS k, CASE c_custkey % 5 WHEN 1 THEN c_acctbal WHEN 2 THEN floor(c_acctbal) * 10000 + 3000 WHEN 3 THEN floor(c_acctbal) * 1000000 ELSE floor(c_acctbal) END AS v FROM customer)""")
+def legacy_display(spark, folder):
+    key, b = F.col("c_custkey") % 5, F.floor("c_acctbal").cast("double")
+    value = _pick(key, F.lit(None).cast("double"), F.col("c_acctbal"), b * 10000 + 3000, b * 1000000, b)
+    return _customers(spark, folder).select("c_custkey", S.legacy_display(value, F.when(key == 1, "%").otherwise("元")).alias("text"))
+
+
+_UNITS = ("張", "萬張", "元", "千元", "百萬元", "億元", "%", "件")
+
+
+@query(f"SELECT c_custkey, unit, c_acctbal * factor AS value FROM customer JOIN (VALUES {', '.join(f'({i}, {u!r}, CAST({x} AS DOUBLE))' for i, (u, x) in enumerate(zip(_UNITS, (1, 10000, 1, 1000, 1000000, 100000000, 0.01, 1))))}) u(k, unit, factor) ON c_custkey % 8 = k")
+def unit_convert(spark, folder):
+    unit = _pick(F.col("c_custkey") % 8, *(F.lit(u) for u in _UNITS))
+    return _customers(spark, folder).select("c_custkey", unit.alias("unit"), S.to_base_unit(F.col("c_acctbal"), unit).alias("value"))
+
+
+_JUDGED = """J AS (SELECT c_custkey, c_custkey % 9 = 0 AS gap, c_custkey % 11 = 0 AS bad, c_mktsegment = 'BUILDING' AS percent, c_mktsegment = 'MACHINERY' AS people, c_custkey % 2 = 0 AS share, c_acctbal / 20 AS v FROM customer)"""
+
+
+def _judged(spark: SparkSession, folder: str) -> DataFrame:
+    """Values of three units, some missing, some not finite, every other one a share."""
+    key = F.col("c_custkey")
+    value = F.when(key % 9 == 0, F.lit(None)).when(key % 11 == 0, F.lit(float("nan"))).otherwise(F.col("c_acctbal") / 20)
+    unit = F.when(F.col("c_mktsegment") == "BUILDING", "%").when(F.col("c_mktsegment") == "MACHINERY", "人次").otherwise("x")
+    return _customers(spark, folder).select("c_custkey", value.alias("value"), unit.alias("unit"), (key % 2 == 0).alias("is_share"))
+
+
+@query(f"""WITH {_JUDGED} SELECT c_custkey, CASE WHEN gap THEN 'missing' WHEN bad THEN 'not_finite' ELSE
+  concat_ws(',', CASE WHEN percent AND v < -100 THEN 'below_minus_100' END, CASE WHEN share AND (v < 0 OR v > 100) THEN 'share_out_of_range' END, CASE WHEN people AND v < 0 THEN 'negative' END) END AS issues FROM J""")
+def metric_issue_list(spark, folder):
+    issues = R.metric_issues(F.col("value"), F.col("unit"), F.col("is_share"), V.PERCENT, V.NON_NEGATIVE)
+    return _judged(spark, folder).select("c_custkey", F.array_join(issues, ",").alias("issues"))
+
+
+@query(f"WITH {_JUDGED} SELECT c_custkey, CASE WHEN gap THEN 'na' WHEN bad OR (percent AND v < -100) OR (share AND (v < 0 OR v > 100)) OR (people AND v < 0) THEN 'failed' ELSE 'passed' END AS status FROM J")
+def sanity_cases(spark, folder):
+    return _judged(spark, folder).select("c_custkey", V.sanity(F.col("value"), F.col("unit"), F.col("is_share")).alias("status"))
+
+
+@query("""SELECT l_orderkey, l_partkey, l_linenumber, CAST(d AS DOUBLE) AS first, word, CAST(t AS DOUBLE) AS second FROM (
+  SELECT l_orderkey, l_partkey, l_linenumber, CAST(round(l_discount * 100) AS INTEGER) AS d, CAST(round(l_tax * 100) AS INTEGER) AS t, CASE WHEN l_linenumber % 2 = 0 THEN '高於' ELSE 'lower than' END AS word FROM lineitem)
+WHERE (word = '高於' AND d <= t) OR (word = 'lower than' AND d >= t)""")
+def narrative_logic(spark, folder):
+    percent = lambda c: F.concat(F.round(F.col(c) * 100).cast("int").cast("string"), F.lit("%"))
+    word = F.when(F.col("l_linenumber") % 2 == 0, "高於").otherwise("lower than")
+    rows = L.table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", F.concat_ws(" ", F.lit("discount of"), percent("l_discount"), word, percent("l_tax")).alias("text"))
+    return R.narrative_issues(rows).drop("text")
+
+
+# Whole tables in order
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) OVER (ORDER BY l_shipdate) AS DOUBLE) AS quantity, rank() OVER (ORDER BY l_shipdate) AS rank FROM lineitem")
+def running_by_date(spark, folder):
+    rows = L.table(spark, folder, "lineitem")
+    sums = N.running_sums(rows, ["l_shipdate"], {"quantity": F.sum(F.col("l_quantity").cast("decimal(18,2)"))})
+    return N.ranks(sums, ["l_shipdate"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("quantity").cast("double").alias("quantity"), "rank")
+
+
+@query("SELECT o_orderkey, CAST(SUM(CAST(o_totalprice AS DECIMAL(28,2))) OVER (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS cumulative FROM orders")
+def cumulative_orders(spark, folder):
+    rows = L.table(spark, folder, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    return B.cumulative_sum(rows, "o_totalprice", "o_orderdate", ties=["o_orderkey"], places=2).select("o_orderkey", "cumulative")
+
+
+@query("SELECT l_suppkey, CAST(COUNT(*) AS BIGINT) AS n, median(l_extendedprice) AS median FROM lineitem GROUP BY l_suppkey")
+def median_by_supplier(spark, folder):
+    return medians(L.table(spark, folder, "lineitem"), ["l_suppkey"], "l_extendedprice")
+
+
+# Recipes in a batch
+def _batch(name: str, period: int) -> dict:
+    """A region's or nation's part of all sales in a year."""
+    now = {"id": "now", "block": "filter_by_period", "params": {"start": period, "end": period}}
+    one = {"id": "one", "block": "filter", "input": "now", "params": {"column": "canonical", "operator": "==", "value": name}}
+    sums = [{"id": k, "block": "group_sum", "input": of, "params": {"places": P}} for k, of in (("n", "one"), ("d", "now"))]
+    share = {"id": "share", "block": "ratio", "params": {"numerator": {"$ref": "n"}, "denominator": {"$ref": "d"}}}
+    return {"metric_id": f"{name}_{period}", "metric_name": name, "unit": "%", "period": period, "is_share": True, "assumption_statement": "", "steps": [now, one, *sums, share], "output": "share"}
+
+
+@query(f"""{_WITH}, D AS (SELECT * FROM L WHERE {_D}), T AS (SELECT period, {_SUM} AS d FROM D GROUP BY period)
+SELECT canonical || '_' || period AS metric_id, value / d * 100 AS value, 'passed' AS status, CAST(period AS INTEGER) AS period FROM D JOIN T USING (period)""")
+def recipe_batch(spark, folder):
+    """A recipe for each field and year of the sales, all in one scan."""
+    long = L.sales(spark, folder)
+    asked = long.where("aggregation_role = 'detail'").select("canonical", "period").distinct().collect()  # as many as there are recipes
+    made, _ = compile_all([_batch(r.canonical, r.period) for r in asked], long)
+    return made.select("metric_id", "value", "status", "period")
+
+
+# Decks and the older layout
+_DECKS = """S AS (SELECT o_custkey AS deck, o_orderkey AS slide, CASE o_orderpriority WHEN '1-URGENT' THEN 'executive_summary' WHEN '2-HIGH' THEN 'strategy' WHEN '3-MEDIUM' THEN 'trend_chart' ELSE 'cover' END AS layout FROM orders)"""
+
+
+def _decks(spark: SparkSession, folder: str) -> DataFrame:
+    """A deck for each customer, a slide for each order."""
+    rows = L.table(spark, folder, "orders")
+    layout = F.col("o_orderpriority")
+    layout = F.when(layout == "1-URGENT", "executive_summary").when(layout == "2-HIGH", "strategy").when(layout == "3-MEDIUM", "trend_chart").otherwise("cover")
+    return rows.select(F.col("o_custkey").alias("deck"), F.col("o_orderkey").alias("slide"), layout.alias("layout"), F.when(F.col("o_orderkey") % 4 != 0, "line").alias("headline"), F.when(
+        F.col("o_orderkey") % 3 != 0, F.array(F.struct(F.lit("t").alias("text"), F.when(F.col("o_orderkey") % 5 != 0, F.array(F.lit("m"))).alias("evidence")))).alias("insights"))
+
+
+@query(f"""WITH {_DECKS} SELECT deck, 'page_count' AS issue, CAST(COUNT(*) AS VARCHAR) AS detail FROM S GROUP BY deck HAVING COUNT(*) <> 10
+UNION ALL SELECT deck, 'missing_page', r.layout FROM (SELECT DISTINCT deck FROM S) d CROSS JOIN (VALUES ('executive_summary'), ('strategy')) r(layout) WHERE NOT EXISTS (SELECT 1 FROM S WHERE S.deck = d.deck AND S.layout = r.layout)""")
+def deck_structure(spark, folder):
+    return R.structure_issues(_decks(spark, folder), 10)
+
+
+@query(f"WITH {_DECKS} SELECT deck FROM S WHERE layout IN ('executive_summary', 'strategy') GROUP BY deck HAVING COUNT(DISTINCT layout) = 2")
+def complete_decks(spark, folder):
+    return R.complete_decks(_decks(spark, folder))
+
+
+@query(f"""WITH {_DECKS} SELECT deck, slide, 'no_insight' AS issue FROM S WHERE layout IN ('executive_summary', 'trend_chart') AND slide % 3 = 0
+UNION ALL SELECT deck, slide, 'no_headline' FROM S WHERE layout IN ('executive_summary', 'strategy', 'trend_chart') AND slide % 4 = 0
+UNION ALL SELECT deck, slide, 'no_evidence' FROM S WHERE layout = 'trend_chart' AND slide % 3 <> 0 AND slide % 5 = 0""")
+def weak_insights(spark, folder):
+    return R.weak_insights(_decks(spark, folder))
+
+
+def _bank_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as sheets of the older layout: nations down, months of all years across, some with a share column; one in two versions."""
+    rows = L.table(spark, folder, "orders").join(L.table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(L.table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    price = F.col("o_totalprice").cast("decimal(18,2)")
+    each = cut(rows.groupBy("n_name", "n_nationkey", F.month("o_orderdate").alias("m")).agg(F.sum(price).alias("amount"), F.count(F.lit(1)).alias("cards")).where("m <= 6"))
+    spot = lambda row, col, text, number: F.struct(row.cast("int").alias("row"), col.cast("int").alias("col"), text.cast("string").alias("text"), number.cast("double").alias("number"))
+    word = lambda row, col, text: spot(row, col, text, F.lit(None))
+    figure = lambda row, col, v: spot(row, col, v, v)
+    named = [("P.7_簽帳金額", "amount"), ("P.5_簽帳金額", "amount"), ("有效卡數", "cards")]
+    at, sheet = F.col("n_nationkey") + 2, F.explode(F.array(*(F.lit(n) for n, _ in named))).alias("sheet")
+    value = F.when(F.col("sheet") == "有效卡數", F.col("cards").cast("double")).otherwise(F.col("amount").cast("double"))
+    body = each.select("*", sheet).select("sheet", figure(at, F.col("m") + 1, value).alias("x"))
+    nations = each.select("n_name", "n_nationkey").distinct().select("*", sheet)
+    labels = F.explode(F.array(word(at, F.lit(1), F.concat(F.lit(" "), "n_name")), figure(at, F.lit(8), F.col("n_nationkey") / 100)))
+    heads = [word(F.lit(1), F.lit(1), F.lit("金融機構名稱")), *(word(F.lit(1), F.lit(m + 1), F.lit(f"1140{m}")) for m in range(1, 7)), word(F.lit(1), F.lit(8), F.lit("市占率 (%)"))]
+    rest = [word(F.lit(90), F.lit(1), F.lit("總計")), figure(F.lit(90), F.lit(8), F.lit(1.0)), figure(F.lit(95), F.lit(2), F.lit(5.0))]
+    frame = spark.range(1).select(sheet).select("sheet", F.explode(F.array(*heads, *rest)).alias("x"))
+    return body.unionByName(nations.select("sheet", labels.alias("x"))).unionByName(frame).select(F.lit("bank.xlsx").alias("file"), "sheet", "x.*")
+
+
+@query("""WITH E AS (SELECT n_name, n_nationkey, month(o_orderdate) AS m, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS amount, CAST(COUNT(*) AS DOUBLE) AS cards FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE month(o_orderdate) <= 6 GROUP BY ALL),
+S AS (SELECT * FROM (VALUES ('P.7_簽帳金額', '當月簽帳金額', '千元'), ('有效卡數', '有效卡數', '張')) s(sheet, metric, unit)),
+N AS (SELECT DISTINCT n_name, n_nationkey FROM E UNION ALL SELECT '總計', NULL)
+SELECT N.n_name AS institution, '1140' || r.m AS period, S.metric, CASE WHEN S.unit = '張' THEN cards ELSE amount END AS value, S.unit, 'bank.xlsx' AS source_file, S.sheet AS source_sheet, N.n_name || '@1140' || r.m AS source_cell
+FROM N CROSS JOIN S CROSS JOIN range(1, 7) r(m) LEFT JOIN E ON E.n_name = N.n_name AND E.m = r.m
+UNION ALL SELECT n_name, '11406', metric || '_市佔率', CAST(n_nationkey AS DOUBLE) / 100 * 100, '%', 'bank.xlsx', sheet, n_name || '@市佔率' FROM N CROSS JOIN S WHERE n_name <> '總計'""")
+def legacy_records(spark, folder):
+    return legacy.records(_bank_cells(spark, folder)).drop("raw_value")
