@@ -230,3 +230,52 @@ def test_search_of_empty_tables_and_large_numbers(spark):
 def test_search_ties_go_to_the_smaller_id():
     s, ids, none = np.array([5, 7, 5, 5, 0, 7]), np.array([9, 4, 3, 0, 1, 2]), np.array([False, False, False, True, False, False])
     assert lexical_search.best(s, ids, none, 4).tolist() == [5, 1, 2, 0] and lexical_search.best(s, ids, none, 99).tolist() == [5, 1, 2, 0, 3]
+
+
+# Decontamination: cells and slices
+def test_cells_keep_recall_of_the_full_product(monkeypatch):
+    from tabulon.llm import decontamination as D
+
+    r = np.random.default_rng(4)
+    themes = r.normal(size=(60, 48))
+    target = D.unit((themes[r.integers(0, 60, 3000)] * 0.7 + r.normal(size=(3000, 48))).astype(np.float32))
+    p = D.unit(np.concatenate([target[r.integers(0, 3000, 1500)] + r.normal(size=(1500, 48)) * 0.11, r.normal(size=(4000, 48))]).astype(np.float32))
+    known = object.__new__(D.Benchmark)
+    known.centres, cell = D.cells(target)
+    order = np.argsort(cell, kind="stable")
+    known.target, known.bounds = target[order].T.copy(), np.searchsorted(cell[order], np.arange(len(known.centres) + 1))
+    monkeypatch.setattr(D, "ROWS", 700)
+    monkeypatch.setattr(D, "COLUMNS", 13)
+    found = set()
+    for rows, columns, cosines in known.near(p, 0.7):
+        pairs = set(zip(rows.tolist(), order[columns].tolist()))
+        assert not pairs & found and np.allclose((p[rows] * target[order[columns]]).sum(1), cosines, atol=1e-5)
+        found |= pairs
+    want = set(zip(*(x.tolist() for x in np.nonzero(p @ target.T >= 0.7))))
+    assert len(want) > 1000 and found <= want and len(found) >= 0.9 * len(want)
+    opened = (p @ known.centres.T >= D.OPEN) @ np.diff(known.bounds)
+    assert opened.sum() < 0.3 * len(p) * 3000
+    assert len(D.cells(target[:500])[0]) == 1 and len(D.cells(target[:0])[0]) == 0
+
+
+def test_many_slices_and_items_of_a_thousand_words(spark, monkeypatch):
+    from tabulon.llm import decontamination as D
+
+    monkeypatch.setattr(D, "SLICE", 7)
+    r = random.Random(5)
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(20_000)]
+    text = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = [text(1000) for _ in range(12)] + [text(30) for _ in range(12)]
+    docs, want = [], set()
+    for i in range(72):
+        t = text(400)
+        if i % 2:
+            j = i // 2 % 24
+            gone = set(r.sample(range(len(items[j])), len(items[j]) // 10))
+            copy = [r.choice(vocabulary) if k in gone else w for k, w in enumerate(items[j])]
+            t, want = t[:50] + copy + t[50:], want | {(i, j)}
+        docs.append((i, " ".join(t)))
+    bench = spark.createDataFrame([(j, " ".join(x)) for j, x in enumerate(items)], "item_id long, text string")
+    got = D.find_leaks(spark.createDataFrame(docs, DOCS), bench).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == want and all(x.cosine > 0.7 for x in got)
+    assert np.prod((D.ROWS, D.COLUMNS)) * 4 <= 256 << 20
