@@ -277,5 +277,9 @@ def test_many_slices_and_items_of_a_thousand_words(spark, monkeypatch):
         docs.append((i, " ".join(t)))
     bench = spark.createDataFrame([(j, " ".join(x)) for j, x in enumerate(items)], "item_id long, text string")
     got = D.find_leaks(spark.createDataFrame(docs, DOCS), bench).collect()
-    assert {(x.doc_id, x.item_id) for x in got} == want and all(x.cosine > 0.7 for x in got)
+    assert {(x.doc_id, x.item_id) for x in got} == want
+    near = {(x.doc_id, x.item_id) for x in got if x.cosine > 0}
+    monkeypatch.setattr(D, "DIRECT", 1 << 30)  # one cell: the full product
+    whole = {(x.doc_id, x.item_id) for x in D.find_leaks(spark.createDataFrame(docs, DOCS), bench).collect() if x.cosine > 0}
+    assert near <= whole and len(near) >= 0.9 * len(whole) > 10
     assert np.prod((D.ROWS, D.COLUMNS)) * 4 <= 256 << 20
