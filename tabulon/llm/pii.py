@@ -2,11 +2,13 @@
 
 The base patterns find what they describe in every whole text. The tagger is trained on the driver from
 labelled spans: windows of a bounded sample of documents labelled by the patterns, and the same kinds
-written in other ways (without a plus, with other separators or blanks around them) put into such windows;
-kinds spelled in words alone, without a digit or an ``@``, aren't looked for. It tags every window
+written in other ways (without a plus, with other separators or blanks around them) as well as harmless
+numbers put into such windows. What the patterns pass over but could be a kind all the same, enough digits close together
+or an ``@``, has no label there: the likelihood is summed over all its tags. Kinds spelled in words alone, without a digit
+or an ``@``, aren't looked for. The tagger reads every window
 of a text that holds a digit or an ``@``: no kind can do without either. Windows overlap by half; each
-character takes the scores of the window in which it is most central, stitched stretches are decoded as
-a whole by the CRF, and a decoded span is added where its marginal probability is high, it has the
+character takes the scores of the window in which it is most central, stitched stretches are decoded by the CRF in pieces
+that overlap by far more than a span, each span taken from the piece that owns its start, and a decoded span is added where its marginal probability is high, it has the
 substance of its kind and it doesn't touch a base span.
 """
 
@@ -15,6 +17,8 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import zlib
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -37,9 +41,13 @@ WINDOW, HOP = 64, 32
 SAMPLE, DISGUISED, LEAST_DISGUISED = 2000, 2, 2400
 HIDDEN, EMBED = 20, 12
 SURE = 0.8
+#: Characters that the CRF decodes at a time, what pieces overlap on each side (with HOP-aligned pieces, windows are the same), and characters of a group of pieces.
+PIECE, MARGIN, GROUP = 4096, 256, 1 << 17
+#: What may be a kind that the patterns don't know: four numbers or ten digits close together, or an ``@`` and what is around it.
+_MAYBE = re.compile(r"[+(\[{]*[0-9]+(?:[^A-Za-z0-9\n]{1,4}[0-9]+){3,}|[+(\[{]*[0-9](?:[^A-Za-z0-9\n]{0,3}[0-9]){9,}|[A-Za-z0-9._%+-]*[ (\[{<]{0,3}@[ )\]}>]{0,3}[^\s@]*(?: ?[.] ?[A-Za-z0-9-]+)*")
 
 _DIGITS = re.compile(r"[^0-9]")
-_TRIGGER = re.compile(r"[0-9@]")
+_TRIGGER, _TRIGGERS = re.compile(r"[0-9@]"), re.compile(r"[0-9@]+")
 _NUMBERS, _NUMBER = re.compile(r"[0-9]+(?:\.[0-9]+)*"), re.compile(r"[0-9]+")
 
 
@@ -171,17 +179,23 @@ class Tagger:
         return grads, dz @ self.p[f"wx{d}"].T
 
     def gradient(self, c: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        """Gradient of the mean negative log likelihood of tags y (batch, time)."""
+        """Gradient of the mean negative log likelihood of tags y (batch, time); -1 is an unknown tag, summed over."""
         x = self.p["emb"][c.T]
         s0, s1 = self._run(x, 0, True), self._run(x[::-1], 1, True)
         both = np.concatenate([s0[0][1:], s1[0][1:][::-1]], 2)
         e = both @ self.p["wo"] + self.p["bo"]
-        single, pair = marginals(e, self.p["tr"], np.full(len(y), e.shape[0]), True)
         n, b = e.shape[:2]
-        de = single
-        de[np.arange(n)[:, None], np.arange(b)[None], y.T] -= 1
-        dtr = pair
-        np.add.at(dtr, (y[:, :-1].ravel(), y[:, 1:].ravel()), -1)
+        de, dtr = marginals(e, self.p["tr"], np.full(b, n), True)
+        sure = (y >= 0).all(1)
+        at = np.flatnonzero(sure)
+        de[np.arange(n)[:, None], at[None], y[at].T] -= 1
+        np.add.at(dtr, (y[at, :-1].ravel(), y[at, 1:].ravel()), -1)
+        if len(at) < b:  # what the known tags leave possible
+            rest = np.flatnonzero(~sure)
+            barred = np.where((y[rest].T[:, :, None] >= 0) & (np.arange(TAGS) != y[rest].T[:, :, None]), -1e4, 0.0)
+            single, pair = marginals(e[:, rest] + barred, self.p["tr"], np.full(len(rest), n), True)
+            de[:, rest] -= single
+            dtr = dtr - pair
         de /= b
         flat = lambda a: a.reshape(-1, a.shape[-1])
         g = {"wo": flat(both).T @ flat(de), "bo": flat(de).sum(0), "tr": dtr / b}
@@ -192,7 +206,7 @@ class Tagger:
         np.add.at(demb, c.T.ravel(), flat(dx0 + dx1[::-1]))
         return g | g0 | g1 | {"emb": demb}
 
-    def train(self, c: np.ndarray, y: np.ndarray, rounds: int = 500, batch: int = 64, rate: float = 0.02, seed: int = 4) -> None:
+    def train(self, c: np.ndarray, y: np.ndarray, rounds: int = 1200, batch: int = 64, rate: float = 0.02, seed: int = 4) -> None:
         """Adam over windows c and tags y (windows, WINDOW)."""
         r = np.random.default_rng(seed)
         m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
@@ -262,43 +276,75 @@ def _tags(size: int, spans: Iterable[tuple[int, int, int]], lo: int = 0) -> np.n
 def disguised(kind: int, r: random.Random) -> str:
     """A made-up instance of a kind, in a way of writing that the base patterns may not know."""
     digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
-    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 8)))
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9)))
+    blank = lambda x: r.choice(["", "", " "]) + x + r.choice(["", "", " "])
+    mark = blank(r.choice("!#$%&*+,-./:;<=>?|'^\u00b7\u2013"))  # any mark may stand between numbers
     if kind == 0:
-        name, host = word() + r.choice(["", ".", "_"]) + r.choice([word(), digits(2)]), word() + r.choice(["", digits(1)])
-        return name + r.choice(["@", " @ ", "@ "]) + host + r.choice([".", " . "]) + r.choice(["com", "org", "net", "example.com"])
+        name, host = word() + r.choice(["", ".", "_", "-"]) + r.choice([word(), digits(2)]), word() + r.choice(["", digits(1), "-" + word()])
+        return name + r.choice([blank("@"), blank("@"), blank("@"), "(@)", " [@] "]) + host + blank(".") + r.choice(["com", "org", "net", "example.com", "co.uk", "de", word()])
     if kind == 1:
-        return r.choice([".", " . ", "[.]"]).join(str(r.randint(1, 255)) for _ in range(4))
+        return r.choice([blank("."), blank("."), "[.]", "(,)", "-", " ", mark, mark]).join(str(r.randint(0, 255)) for _ in range(4))
     if kind == 2:
-        body = r.choice("45") + digits(14)
+        body = r.choice("3456") + digits(r.choice([13, 14, 14, 14, 15]))
         body += next(c for c in "0123456789" if luhn(body + c))
-        return r.choice([".", " ", "-", "", "/"]).join(body[i : i + 4] for i in range(0, 16, 4))
-    a, b, c = digits(3), digits(3), digits(4)
-    return r.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+1 ({a}) {b}-{c}", f"001 {a} {b} {c}"])
+        return r.choice([".", " ", "-", "", "/", " - ", "  ", mark]).join(body[i : i + 4] for i in range(0, len(body), 4))
+    parts = [digits(n) for n in r.choice([(3, 3, 4), (3, 4, 4), (2, 4, 4), (4, 3, 3)])]
+    between = r.choice(["-", ".", " ", "/", " - ", "-", " ", mark])
+    head = r.choice(["", "", "+1 ", "001 ", "00 44 ", "1-", "0"])
+    return head + (f"({parts[0]}) " if r.random() < 0.4 else parts[0] + between) + between.join(parts[1:])
+
+
+def harmless(r: random.Random) -> str:
+    """Numbers that are no personal data: dates, times, amounts, versions, measures, lists of years."""
+    n = lambda lo, hi: str(r.randint(lo, hi))
+    day = r.choice(["-", "/", "."]).join([n(1900, 2099), f"{r.randint(1, 12):02}", f"{r.randint(1, 28):02}"])
+    clock = f"{r.randint(0, 23):02}:{r.randint(0, 59):02}" + r.choice(["", f":{r.randint(0, 59):02}"])
+    return r.choice([
+        day, clock, f"{day} {clock}", f"{day}T{clock}", n(0, 9999), f"{r.uniform(0, 1e6):,.2f}", f"{n(1, 99)}.{n(0, 99)}%", f"v{n(0, 20)}.{n(0, 30)}.{n(0, 99)}", f"${n(1, 999)}.{n(10, 99)}", f"{n(1, 500)}x{n(1, 500)}",
+        ", ".join(n(1900, 2030) for _ in range(r.randint(2, 4))), f"{n(1, 20)}-{n(21, 99)}", f"[{n(1, 99)}]", f"No. {n(1, 99999)}", f"@{r.choice('abcdefgh')}{n(1, 9)}", f"#{n(1, 99999)}",
+    ])
+
+
+def labels(text: str) -> np.ndarray:
+    """Tags of a whole text by the base patterns; -1 for what may be a kind that they don't know."""
+    spans = base_spans(text)
+    y = _tags(len(text), spans)
+    for m in _MAYBE.finditer(text):
+        free = y[m.start() : m.end()]
+        free[free == 0] = -1
+    return y
+
+
+def _labelled(keep: int):
+    """Windows of HOP's spacing that hold a digit or an ``@`` and each text's first, with their tags: the least by hash of each of ``keep`` buckets."""
 
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[int, tuple[int, str, list[int]]] = {}
+        for b in batches:
+            for t in b["text"]:
+                y = None
+                for lo in dict.fromkeys([0, *(x for a, z in stretches(t) for x in range(a, z, HOP))]):
+                    window = t[lo : lo + WINDOW]
+                    h = zlib.crc32(window.encode("utf-8", "surrogatepass"))
+                    bucket, rank = h % keep, zlib.crc32(window.encode("utf-8", "surrogatepass"), 77)
+                    if bucket not in best or (rank, window) < best[bucket][:2]:
+                        y = labels(t) if y is None else y
+                        best[bucket] = rank, window, np.pad(y[lo : lo + WINDOW], (0, WINDOW - len(window))).tolist()
+        yield pd.DataFrame([(k, *v) for k, v in best.items()], columns=["bucket", "h", "text", "tags"])
 
-def _labelled(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = []
-        for t in b["text"]:
-            spans = base_spans(t)
-            for m in list(_TRIGGER.finditer(t))[:: max(1, WINDOW // 2)][:4]:
-                lo = max(0, m.start() - WINDOW // 2)
-                rows.append((t[lo : lo + WINDOW], _tags(WINDOW, spans, lo).tolist()))
-            rows.append((t[:WINDOW], _tags(WINDOW, spans).tolist()))
-        if rows:
-            yield pd.DataFrame(rows, columns=["text", "tags"])
+    return run
 
 
 def train_tagger(docs: DataFrame, sample: int = SAMPLE, seed: int = 6) -> Tagger:
     """A tagger trained on at most ``sample`` windows of docs and more of them with disguised instances put in.
 
-    Windows are hashed to ``sample`` buckets and each bucket keeps its least, so tasks combine before the
+    All windows of all texts are hashed to ``sample`` buckets and each bucket keeps its least, so tasks combine before the
     shuffle, copies of a window count once and the driver gets ``sample`` rows at most, whatever the input.
     """
     r = random.Random(seed)
     hit = docs.where("text IS NOT NULL").select("text").where(F.col("text").rlike("[0-9@]"))
-    windows = hit.mapInPandas(_labelled, "text string, tags array<int>").withColumn("h", F.xxhash64("text"))
-    kept = windows.groupBy(F.pmod("h", F.lit(sample)).alias("bucket")).agg(F.min(F.struct("h", "text", "tags")).alias("w")).select("w.*")
+    windows = hit.mapInPandas(_labelled(sample), "bucket long, h long, text string, tags array<int>")
+    kept = windows.groupBy("bucket").agg(F.min(F.struct("h", "text", "tags")).alias("w")).select("w.*")
     rows = sorted(kept.collect(), key=lambda x: (x["h"], x["text"]))
     c, y = [], []
     texts = [(x["text"], np.array(x["tags"])) for x in rows] or [("", np.zeros(WINDOW, np.int64))]
@@ -307,12 +353,13 @@ def train_tagger(docs: DataFrame, sample: int = SAMPLE, seed: int = 6) -> Tagger
         y.append(tags)
     for i in range(max(DISGUISED * len(texts), LEAST_DISGUISED)):
         text, tags = texts[i % len(texts)]
-        kind = r.randrange(len(KINDS))
-        inside, at = disguised(kind, r), r.randint(0, WINDOW // 2)
+        kind = r.choice([0, 1, 2, 3, 3, len(KINDS)])  # phone numbers are written in most ways
+        inside, at = disguised(kind, r) if kind < len(KINDS) else harmless(r), r.randint(0, WINDOW // 2)
         plain = "".join(" " if t else x for x, t in zip(text.ljust(WINDOW), tags))
-        text = (plain[:at] + " " + inside + " " + plain[at:])[:WINDOW]
-        c.append(chars(text))
-        y.append(_tags(WINDOW, [(at + 1, kind, at + 1 + len(inside))]))
+        text = (plain[:at] + r.choice([" ", " ", "(", ": "]) + inside + r.choice([" ", " ", ".", ", ", ")"]) + plain[at:])
+        first = text.index(inside, at)
+        c.append(chars(text[:WINDOW].ljust(WINDOW)))
+        y.append(_tags(WINDOW, [(first, kind, first + len(inside))] if kind < len(KINDS) else []))
     tagger = Tagger(seed)
     tagger.train(np.stack(c), np.stack(y))
     return tagger
@@ -321,13 +368,13 @@ def train_tagger(docs: DataFrame, sample: int = SAMPLE, seed: int = 6) -> Tagger
 def stretches(text: str) -> list[tuple[int, int]]:
     """Parts of the text covered by windows that hold a digit or an ``@``: multiples of HOP, joined where they touch."""
     out: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
+    for m in _TRIGGERS.finditer(text):
         first = max(0, (m.start() - WINDOW) // HOP + 1) * HOP
-        last = m.start() // HOP * HOP
+        end = (m.end() - 1) // HOP * HOP + WINDOW
         if out and first <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], last + WINDOW)
+            out[-1][1] = max(out[-1][1], end)
         else:
-            out.append([first, last + WINDOW])
+            out.append([first, end])
     return [(a, min(b, len(text))) for a, b in out]
 
 
@@ -336,7 +383,7 @@ def _substance(kind: int, found: str) -> bool:
     if found != found.strip():
         return False
     if kind == 0:
-        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+ ?@ ?[A-Za-z0-9-]+( ?\. ?[A-Za-z0-9-]+)+", found))
+        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+[ (\[{<]{0,2}@[ )\]}>]{0,2}[A-Za-z0-9-]+( ?\. ?[A-Za-z0-9-]+)+", found))
     if kind == 1:
         parts = re.findall(r"[0-9]+", found)
         return len(parts) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in parts) and not re.search(r"[A-Za-z]", found)
@@ -345,23 +392,47 @@ def _substance(kind: int, found: str) -> bool:
     return 14 <= digits <= 19 and luhn(_DIGITS.sub("", found)) if kind == 2 else 10 <= digits <= 15
 
 
+class Taken:
+    """The base spans of a text, to ask which places they touch."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.starts = [s for s, _, _ in spans]
+        self.reach, far = [], 0  # how far the spans up to each one go
+        for _, _, e in spans:
+            far = max(far, e)
+            self.reach.append(far)
+
+    def meets(self, x: int, y: int) -> bool:
+        k = bisect_left(self.starts, y)
+        return k > 0 and self.reach[k - 1] > x
+
+
+def pieces_of(i: int, a: int, b: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """A stretch of text i as pieces (i, from, to, first, end) of PIECE characters that overlap by MARGIN on each side; a piece owns first to end."""
+    own = PIECE - 2 * MARGIN
+    for first in range(a, b, own) if b - a > PIECE else (a,):
+        end = min(first + own, b) if b - a > PIECE else b
+        yield i, max(a, first - MARGIN), min(b, end + MARGIN), first, end
+
+
 def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], tagger: Tagger) -> list[list[tuple[int, int, int]]]:
     """The tagger's spans of each text that are sure and touch no base span."""
-    where = [(i, a, b) for i, t in enumerate(texts) for a, b in stretches(t)]
+    where = [x for i, t in enumerate(texts) for a, b in stretches(t) for x in pieces_of(i, a, b)]
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    touched = [Taken(x) for x in base]
     where.sort(key=lambda x: x[2] - x[1])
     lo = 0
     while lo < len(where):
-        hi, size = lo, 0
-        while hi < len(where) and (hi == lo or (hi - lo + 1) * (where[hi][2] - where[hi][1]) <= 1 << 15):
+        hi = lo
+        while hi < len(where) and (hi == lo or (hi - lo + 1) * (where[hi][2] - where[hi][1]) <= GROUP):
             hi += 1
         group = where[lo:hi]
         lo = hi
-        size = np.array([b - a for _, a, b in group])
+        size = np.array([b - a for _, a, b, _, _ in group])
         starts = [range(0, max(1, n - HOP), HOP) for n in size.tolist()]
         c = np.zeros((sum(map(len, starts)), WINDOW), np.int64)
         k = 0
-        for (i, a, b), s in zip(group, starts):
+        for (i, a, b, _, _), s in zip(group, starts):
             own = chars(texts[i][a:b])
             for x in s:
                 c[k, : len(own[x : x + WINDOW])] = own[x : x + WINDOW]
@@ -378,7 +449,7 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], tagger
                 k += 1
         tr = tagger.p["tr"]
         best, sure = viterbi(e, tr, size), marginals(e, tr, size)[0]
-        for g, (i, a, b) in enumerate(group):
+        for g, (i, a, b, first, end) in enumerate(group):
             tags = best[: b - a, g].tolist()
             s = 0
             while s < len(tags):
@@ -390,7 +461,7 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], tagger
                     t += 1
                 p = sure[np.arange(s, t), g, tags[s:t]].mean()
                 x, y = a + s, a + t
-                if p >= SURE and _substance(kind, texts[i][x:y]) and not any(x < be and bs < y for bs, _, be in base[i]):
+                if first <= x < end and p >= SURE and _substance(kind, texts[i][x:y]) and not touched[i].meets(x, y):
                     out[i].append((x, kind, y))
                 s = t
     return out

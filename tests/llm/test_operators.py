@@ -530,9 +530,10 @@ def test_tagger_adds_what_the_patterns_miss(spark):
         assert len(hits) > 30 and sum(hits) >= 0.9 * len(hits)
     clean = [t for t in host if not any(c.isdigit() or c == "@" for c in t)]
     assert not any(pii.added_spans(clean, [[] for _ in clean], tagger))
-    more = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:40])], "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
-    # Known weakness (README): here the 40 texts are training windows too, labelled as holding nothing; 7 were found when measured.
-    assert pii.find_personal_data(more).where("doc_id < 40").agg(F.sum("n_added")).first()[0] > 0
+    more = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:40])], "doc_id long, text string").unionByName(docs.select((F.col("doc_id") + 40).alias("doc_id"), "text"))
+    # The 40 texts are training windows too; what the patterns miss in them has no label there.
+    found = {r.doc_id: r.spans for r in pii.find_personal_data(more).where("doc_id < 40 AND n_added > 0").collect()}
+    assert sum(pii.spell([(s, k, e)]) in found.get(i, "") for i, (s, k, e) in enumerate(want[:40])) >= 34
 
 
 def test_crf_marginals_and_best_path_equal_enumeration():
@@ -551,13 +552,14 @@ def test_tagger_gradient():
     tagger = pii.Tagger()
     tagger.p = {k: a.astype(np.float64) for k, a in tagger.p.items()}  # finite differences of 1e-5 need it
     r = np.random.default_rng(2)
-    c, y = r.integers(1, 100, (2, 6)), r.integers(0, 2, (2, 6))
+    c, y = r.integers(1, 100, (3, 6)), r.integers(0, 2, (3, 6))
+    y[2, 1:3] = -1
 
     def loss():
         e = tagger.scores(c).transpose(1, 0, 2)
         z = pii._lse(_forward(e, tagger.p["tr"]), 1)
-        own = sum(e[t, np.arange(2), y[:, t]] for t in range(6)) + sum(tagger.p["tr"][y[:, t], y[:, t + 1]] for t in range(5))
-        return float((z - own).mean())
+        known = np.where((y.T[:, :, None] >= 0) & (np.arange(pii.TAGS) != y.T[:, :, None]), -1e4, 0)
+        return float((z - pii._lse(_forward(e + known, tagger.p["tr"]), 1)).mean())
 
     def _forward(e, tr):
         f = e[0]

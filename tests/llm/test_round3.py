@@ -283,3 +283,77 @@ def test_many_slices_and_items_of_a_thousand_words(spark, monkeypatch):
     whole = {(x.doc_id, x.item_id) for x in D.find_leaks(spark.createDataFrame(docs, DOCS), bench).collect() if x.cosine > 0}
     assert near <= whole and len(near) >= 0.9 * len(whole) > 10
     assert np.prod((D.ROWS, D.COLUMNS)) * 4 <= 256 << 20
+
+
+# Personal data
+def test_long_stretches_are_decoded_in_pieces(monkeypatch):
+    from tabulon.llm import pii
+
+    r = random.Random(2)
+    tagger = pii.Tagger(1)
+    tagger.p = {k: (v * 3).astype(np.float32) for k, v in tagger.p.items()}
+    texts = ["".join(r.choice("0123456789.,-@ab \n") for _ in range(n)) for n in (700, 64, 3000, 1500, 0, 5)]
+    monkeypatch.setattr(pii, "SURE", 0.0)
+    monkeypatch.setattr(pii, "_substance", lambda kind, found: True)
+    none = [[] for _ in texts]
+    whole = pii.added_spans(texts, none, tagger)
+    monkeypatch.setattr(pii, "PIECE", 608)
+    assert [sorted(x) for x in pii.added_spans(texts, none, tagger)] == [sorted(x) for x in whole] and sum(map(len, whole)) > 100
+    assert list(pii.pieces_of(3, 10, 20)) == [(3, 10, 20, 10, 20)]
+    cut = list(pii.pieces_of(3, 10, 2000))
+    assert [c[3] for c in cut[1:]] == [c[4] for c in cut[:-1]] and all(b - a <= 608 for _, a, b, _, _ in cut) and cut[0][3] == 10 and cut[-1][4] == 2000
+
+
+def test_texts_of_digits_alone_take_linear_time_and_bounded_memory():
+    import resource
+    import time
+
+    from tabulon.llm import pii
+
+    tagger = pii.Tagger()
+    long = "7 8.9-" * 150_000
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    base = pii.base_spans(long)
+    pii.added_spans([long, "4" * 300_000], [base, []], tagger)
+    assert time.time() - began < 60 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 800_000  # kB
+    assert pii.stretches("x" * 100 + "7" * 1000) == [(64, 1100)]
+
+
+def test_what_may_be_a_kind_has_no_label():
+    from tabulon.llm import pii
+
+    text = "call 555 123 4567 or 10 . 0 . 0 . 1 or joe @ mail . org or 10.0.0.1 in 2024 at 9.50"
+    y = pii.labels(text)
+    free = {text[i] for i in np.flatnonzero(y < 0)}
+    at = lambda x: y[text.index(x) : text.index(x) + len(x)]
+    assert (at("555 123 4567") == -1).all() and (at("10 . 0 . 0 . 1") == -1).all() and (at("joe @ mail") == -1).all() and free
+    assert at("10.0.0.1").tolist() == [3] + [4] * 7 and (at("2024") == 0).all() and (at("9.50") == 0).all() and (at("call ") == 0).all()
+
+
+def test_windows_come_from_the_whole_text(spark):
+    from tabulon.llm import pii
+
+    text = " ".join(f"word {i}" for i in range(3000))
+    rows = spark.createDataFrame([(text,)] * 3, "text string").mapInPandas(pii._labelled(500), "bucket long, h long, text string, tags array<int>").collect()
+    places = [text.index(r.text) / len(text) for r in rows]
+    assert len({r.bucket for r in rows}) >= 300 and min(places) < 0.05 and max(places) > 0.95 and all(len(r.tags) == pii.WINDOW for r in rows)
+
+
+def test_spellings_that_training_never_made(spark):
+    from tabulon.llm import pii
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    tagger, r = pii.train_tagger(docs), random.Random(7)
+    host = [x.text for x in docs.where("length(text) > 400").orderBy("doc_id").limit(60).collect()]
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    makers = [(0, lambda: "joe.smith{@}mail.org"), (1, lambda: "(.)".join(str(r.randint(1, 255)) for _ in range(4))), (1, lambda: " · ".join(str(r.randint(1, 255)) for _ in range(4))), (3, lambda: f"{digits(3)}_{digits(3)}_{digits(4)}"), (3, lambda: f"{digits(3)}~{digits(3)}~{digits(4)}")]
+    for kind, made in makers:
+        texts, want = [], []
+        for h in host:
+            x, before = made(), h[:150] + " "
+            texts.append(f"{before}{x} {r.choice(host)[:100]}")
+            want.append((len(before), kind, len(before) + len(x)))
+        found = pii.added_spans(texts, [pii.base_spans(t) for t in texts], tagger)
+        assert sum(w in f for w, f in zip(want, found)) >= 0.7 * len(host), made()
+    calm = [h[:200] + " " + pii.harmless(r) + " " + h[200:300] for h in host if not any(c.isdigit() or c == "@" for c in h[:300])]
+    assert len(calm) > 20 and not any(pii.added_spans(calm, [pii.base_spans(t) for t in calm], tagger))
