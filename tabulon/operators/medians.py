@@ -14,7 +14,7 @@ from tabulon.operators.blocks import present
 from tabulon.tables import cut, discard, meet
 
 #: Values of a group that one task puts in order; accuracy of the sketches (their size), and the share of ranks on each side of a bracket.
-LEAF, ACCURACY, ASIDE = 10_000, 1000, 0.002
+LEAF, ACCURACY, ASIDE = 1_000_000, 1000, 0.002
 PARTS = range(5)
 
 
