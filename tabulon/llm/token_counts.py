@@ -7,7 +7,7 @@ holds, and sums before the shuffle keep a source with a third of all rows in no
 
 A ledger keeps each document's counts, without its text, so deletes and revisions read numbers and the
 texts of the batch itself, never the corpus. Its batches are signed rows as well and count only if the
-rollup has their batch.
+rollup's folder of their name does; a compaction sums them too, so a ledger holds no more rows than documents.
 
 Commits are idempotent: a batch is stored under its own name by Spark's committer, whose marker makes it
 part of the rollup; a batch that has its marker is skipped, and what a failed try left is replaced. A
@@ -100,45 +100,58 @@ class TokenRollup:
         paths = [f"{self.folder}/deltas/{n}" for n in names]
         return self.spark.read.schema(STORED).parquet(*paths) if paths else self.spark.createDataFrame([], STORED)
 
+    def _names(self, marked: list[str]) -> DataFrame:
+        """Names (covers) that compactions stand for: one for each batch ever compacted, so they stay in tables."""
+        return self._read([n for n in marked if n.startswith("compact-")]).where("covers IS NOT NULL").select("covers").distinct()
+
     def _covered(self, marked: list[str]) -> set[str]:
-        """Names that compactions stand for: one for each batch ever compacted."""
-        return {r[0] for r in self._read([n for n in marked if n.startswith("compact-")]).where("covers IS NOT NULL").select("covers").distinct().collect()}
+        """Those of the marked folders that a compaction stands for."""
+        if not any(n.startswith("compact-") for n in marked):
+            return set()
+        return {r[0] for r in self._names(marked).where(F.col("covers").isin(marked)).collect()}
 
     def live(self) -> list[str]:
-        """Folders whose deltas count now."""
+        """Folders whose deltas and ledger rows count now: a compaction and the batches since."""
         marked = self._marked()
         covered = self._covered(marked)
         return [n for n in marked if n not in covered]
 
-    def committed(self) -> list[str]:
-        """Names of all batches in the rollup, those that compactions stand for among them."""
+    def has(self, batch: str) -> bool:
+        """Whether the rollup has a batch, by its own folder or by a compaction."""
+        marked = self._marked()
+        return batch in marked or not self._names(marked).where(F.col("covers") == batch).isEmpty()
+
+    def committed(self) -> DataFrame:
+        """Names (batch) of all batches in the rollup, those that compactions stand for among them."""
         marked = self._marked()
-        return sorted(n for n in {*marked, *self._covered(marked)} if not n.startswith("compact-"))
+        own = self.spark.createDataFrame([(n,) for n in marked], "batch string")
+        return own.union(self._names(marked)).distinct().where("NOT startswith(batch, 'compact-')")
 
     def commit(self, batch: str, *changes: DataFrame) -> bool:
         """Add a batch of change rows (KEYS, docs, tokens); False if it is in the rollup already."""
         if batch.startswith("compact-"):
             raise ValueError("names of compactions are the rollup's own")
-        if batch in self.committed():
+        if self.has(batch):
             return False
+        self._fs.delete(self._path(f"{self.folder}/ledger/{batch}"), True)  # of a failed try
         rows = changes[0]
         for c in changes[1:]:
             rows = rows.unionByName(c)
         self._store(batch, rows)
         return True
 
-    def _store(self, name: str, rows: DataFrame, covers: list[str] = ()) -> None:
+    def _store(self, name: str, rows: DataFrame, covers: DataFrame | None = None) -> None:
         summed = rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 OR tokens <> 0")
         out = summed.withColumn("covers", F.lit(None).cast("string"))
-        if covers:
+        if covers is not None:
             none = [F.lit(None).cast("string").alias(k) for k in KEYS]
             zero = [F.lit(0).cast("long").alias(k) for k in ("docs", "tokens")]
-            out = out.unionByName(self.spark.createDataFrame([(c,) for c in covers], "covers string").select(*none, *zero, "covers"))
-        out.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/deltas/{name}")
+            out = out.unionByName(covers.select(*none, *zero, "covers"))
+        out.write.mode("overwrite").parquet(f"{self.folder}/deltas/{name}")
 
     def _record(self, batch: str, rows: DataFrame) -> bool:
         """Add a batch of signed ledger rows, first to the ledger, then as deltas: only these make it count."""
-        if batch in self.committed():
+        if self.has(batch):
             return False
         path = f"{self.folder}/ledger/{batch}"
         rows.select("doc_id", "text_hash", "source", "lang", "counts", "copies").write.mode("overwrite").parquet(path)
@@ -153,7 +166,7 @@ class TokenRollup:
 
     def ledger(self, ids: DataFrame | None = None) -> DataFrame:
         """LEDGER rows of the documents that the rollup counts now; of ids (doc_id, null-safe) only where given."""
-        paths = [f"{self.folder}/ledger/{n}" for n in self.committed() if self._fs.exists(self._path(f"{self.folder}/ledger/{n}"))]
+        paths = [f"{self.folder}/ledger/{n}" for n in self.live() if self._fs.exists(self._path(f"{self.folder}/ledger/{n}"))]
         rows = self.spark.read.schema(LEDGER).parquet(*paths) if paths else self.spark.createDataFrame([], LEDGER)
         if ids is not None:
             own = ids.select(F.col("doc_id").alias("own")).distinct()
@@ -191,20 +204,30 @@ class TokenRollup:
         return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 OR tokens <> 0")
 
     def compact(self) -> str:
-        """Sum the live deltas into one table, which then stands for them; what it stands for is deleted afterwards.
+        """Sum the live deltas into one table and the ledger into another, which then stand for them; what they stand for is deleted.
 
-        A crash before the table's marker leaves all as it was, one after it only leaves folders that no longer count;
-        the next compaction deletes them.
+        The table of deltas is written last: a crash before its marker leaves all as it was, one after it only leaves folders
+        that no longer count; the next compaction deletes them.
         """
-        live, marked = self.live(), self._marked()
+        marked = self._marked()
+        live = self.live()
         name = f"compact-{uuid.uuid4().hex}"
-        self._store(name, self._read(live).where("covers IS NULL").select(*KEYS, "docs", "tokens"), sorted({*marked, *self._covered(marked)}))
+        self.ledger().select("doc_id", "text_hash", "source", "lang", "counts", "copies").write.parquet(f"{self.folder}/ledger/{name}")
+        covers = self.spark.createDataFrame([(n,) for n in marked], "covers string").union(self._names(marked)).distinct()
+        self._store(name, self._read(live).where("covers IS NULL").select(*KEYS, "docs", "tokens"), covers)
         self._clean()
         return name
 
     def _clean(self) -> None:
+        """Delete the folders that compactions stand for, a batch's ledger rows first, and the ledgers of compactions that failed."""
         marked = self._marked()
-        for n in set(marked) & self._covered(marked):
+        covered = self._covered(marked)
+        root = self._path(f"{self.folder}/ledger")
+        names = [s.getPath().getName() for s in self._fs.listStatus(root)] if self._fs.exists(root) else []
+        for n in names:
+            if n in covered or n.startswith("compact-") and n not in marked:
+                self._fs.delete(self._path(f"{self.folder}/ledger/{n}"), True)
+        for n in covered:
             self._fs.delete(self._path(f"{self.folder}/deltas/{n}"), True)
 
 
