@@ -121,6 +121,93 @@ SQL: dict[str, str] = {
         SELECT page_id, CAST(STRLEN(h) AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to
         FROM d
     """,
+    "op4_jaccard_join": r"""
+        WITH RECURSIVE texts AS (
+            SELECT doc_id, COALESCE(REGEXP_EXTRACT_ALL(TRANSLATE(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+        ),
+        windows AS (SELECT doc_id, UNNEST(w) AS a, UNNEST(w[2:]) AS b, UNNEST(w[3:]) AS c FROM texts),
+        sets AS MATERIALIZED (
+            SELECT DISTINCT doc_id, a || ' ' || b || ' ' || c AS shingle FROM windows WHERE c IS NOT NULL
+            UNION ALL
+            SELECT doc_id, ARRAY_TO_STRING(w, ' ') FROM texts WHERE LEN(w) BETWEEN 1 AND 2
+        ),
+        sizes AS MATERIALIZED (SELECT doc_id, COUNT(*) AS n FROM sets GROUP BY doc_id),
+        pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, COUNT(*) AS shared FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+        links AS MATERIALIZED (
+            SELECT u, v FROM pairs JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * shared >= 90 * (x.n + y.n - shared)
+        ),
+        reach AS (SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT reach.u, links.v FROM reach JOIN links ON reach.v = links.u)
+        SELECT doc_id, COALESCE(n, 0) AS n_shingles, component_id
+        FROM (SELECT u AS doc_id, MIN(v) AS component_id FROM reach GROUP BY u) LEFT JOIN sizes USING (doc_id)
+    """,
+    "op9_embedding_dedup": """
+        WITH RECURSIVE vectors AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        sound AS MATERIALIZED (
+            SELECT * FROM vectors
+            WHERE label IS NOT NULL AND LEN(LIST_FILTER(e, lambda x: x <> 0)) > 0 AND LEN(LIST_FILTER(e, lambda x: x IS NULL OR NOT ISFINITE(x))) = 0
+        ),
+        links AS MATERIALIZED (
+            SELECT a.vec_id AS u, b.vec_id AS v FROM sound a JOIN sound b ON a.label = b.label AND LEN(a.e) = LEN(b.e)
+            WHERE a.vec_id <> b.vec_id AND CASE WHEN LEN(a.e) = LEN(b.e) THEN LIST_COSINE_SIMILARITY(a.e, b.e) >= 0.98 END
+        ),
+        reach AS (SELECT vec_id AS u, vec_id AS v FROM vectors UNION SELECT reach.u, links.v FROM reach JOIN links ON reach.v = links.u)
+        SELECT u AS vec_id, COALESCE(n, 0) AS n_links, MIN(v) AS component_id, MIN(v) = u AS kept
+        FROM reach LEFT JOIN (SELECT u, COUNT(*) AS n FROM links GROUP BY u) USING (u) GROUP BY u, n
+    """,
+    "op10_url_filter": r"""
+        WITH RECURSIVE rules(says, h, p) AS (
+            VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+        ),
+        tags AS (
+            SELECT url,
+                LIST_FILTER(REGEXP_EXTRACT_ALL(html, '(?is)<link\b[^>]*'), lambda t: REGEXP_MATCHES(t, '(?is)\brel\s*=\s*["'']?canonical\b') AND REGEXP_MATCHES(t, '(?is)\bhref\s*=\s*["'']?[^"''\s>]'))[1] AS canonical,
+                LIST_FILTER(REGEXP_EXTRACT_ALL(html, '(?is)<meta\b[^>]*'), lambda t: REGEXP_MATCHES(t, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b') AND REGEXP_MATCHES(t, '(?is)\bcontent\s*=\s*["'']?\s*[0-9.]*\s*;\s*url\s*=\s*["'']?[^"''\s>]'))[1] AS refresh
+            FROM pages
+        ),
+        named AS (
+            SELECT url, TRIM(REPLACE(link, '&amp;', '&'), ' ') AS link,
+                REGEXP_EXTRACT(url, '(?s)^(.*?)://', 1) AS scheme, REGEXP_EXTRACT(url, '(?s)^(.*?://[^/?#]*)', 1) AS site, REGEXP_EXTRACT(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+            FROM (
+                SELECT url, REGEXP_EXTRACT(canonical, '(?is)^.*\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS link FROM tags
+                UNION ALL
+                SELECT url, REGEXP_EXTRACT(refresh, '(?is)^.*\bcontent\s*=\s*["'']?\s*[0-9.]*\s*;\s*url\s*=\s*["'']?([^"''\s>]+)', 1) FROM tags
+            ) WHERE link <> ''
+        ),
+        targets AS (
+            SELECT url, CASE
+                WHEN link = '' OR STARTS_WITH(link, '#') THEN NULL
+                WHEN REGEXP_MATCHES(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link
+                WHEN STARTS_WITH(link, '//') THEN scheme || ':' || link
+                WHEN STARTS_WITH(link, '/') THEN site || link
+                WHEN STARTS_WITH(link, '?') THEN site || path || link
+                ELSE site || COALESCE(NULLIF(REGEXP_EXTRACT(path, '(?s)^(.*/)', 1), ''), '/') || link END AS target
+            FROM named
+        ),
+        urls AS MATERIALIZED (
+            SELECT url, COALESCE(TRANSLATE(REGEXP_EXTRACT(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                COALESCE(REGEXP_EXTRACT(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+                CASE WHEN host <> '' THEN TRANSLATE(REGEXP_EXTRACT(url, '(?s)^(.*?)://', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+                    || '://' || host || COALESCE(NULLIF(path, ''), '/') || REGEXP_EXTRACT(url, '(?s)^[^?#]*(\?[^#]*)', 1) END AS node
+            FROM (SELECT url FROM pages UNION SELECT target FROM targets)
+        ),
+        places AS (SELECT DISTINCT host, path FROM urls UNION SELECT host, '/' FROM urls WHERE host <> ''),
+        ruled AS MATERIALIZED (
+            SELECT host, path, ARG_MAX(h || p, LENGTH(h || p) * 1000 + LENGTH(h)) AS rule, ARG_MAX(says, LENGTH(h || p) * 1000 + LENGTH(h)) AS says
+            FROM places JOIN rules ON (host = h OR ENDS_WITH(host, '.' || h)) AND STARTS_WITH(path, p) GROUP BY host, path
+        ),
+        edges AS MATERIALIZED (
+            SELECT DISTINCT x.node AS u, y.node AS v FROM targets JOIN urls x ON x.url = targets.url JOIN urls y ON y.url = target WHERE x.node <> y.node
+        ),
+        ways AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges),
+        reach AS (SELECT u, v FROM ways UNION SELECT reach.u, ways.v FROM reach JOIN ways ON reach.v = ways.u),
+        spots AS (SELECT DISTINCT node, host, COALESCE(NULLIF(path, ''), '/') AS path FROM urls),
+        told AS (
+            SELECT u, CASE WHEN BOOL_OR(says = 'allow') THEN 'allow' WHEN BOOL_OR(says = 'block') THEN 'block' END AS told
+            FROM reach JOIN spots ON node = v LEFT JOIN ruled USING (host, path) GROUP BY u
+        )
+        SELECT page_id, host, path, rule, COALESCE(says, told, 'allow') AS verdict
+        FROM pages p JOIN urls ON urls.url IS NOT DISTINCT FROM p.url LEFT JOIN ruled USING (host, path) LEFT JOIN told ON u = node
+    """,
     "op11_resampling": r"""
         WITH table_ AS (
             SELECT LIST_TRANSFORM(RANGE(256), lambda x: LIST_REDUCE(RANGE(8), lambda c, i: CASE WHEN c & 1 = 1 THEN XOR(c >> 1, 3988292384) ELSE c >> 1 END, x)) AS crc

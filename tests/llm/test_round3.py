@@ -6,11 +6,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from oracle import connection, differences
-from tabulon.llm import fingerprints, lexical_search, resampling
+from tabulon.llm import fingerprints, language_id, lexical_search, mixing, resampling
 from tabulon.llm.common import Scratch, word_lists
 from tabulon.llm.queries import QUERIES, SQL
 
@@ -104,11 +105,122 @@ def test_resampling_of_empty_tables_and_whole_rows(spark):
     assert {(r.doc_id, r.draw.rank) for r in got.collect()} == ranks and "text" in got.columns
 
 
-@pytest.mark.parametrize("name", ["op11_resampling", "op13_lexical_search"])
+@pytest.mark.parametrize("name", ["op4_jaccard_join", "op9_embedding_dedup", "op10_url_filter", "op11_resampling", "op13_lexical_search"])
 def test_query_equals_its_sql(spark, name):
     assert not differences(spark, connection(FOLDER), FOLDER, QUERIES[name], SQL[name])
 
 
+def planted(folder, **tables):
+    """A connection in which the tables, also written to the folder for the query, take the place of the given ones."""
+    c = connection(FOLDER)
+    for name, rows in tables.items():
+        rows.to_parquet(f"{folder}/{name}.parquet", index=False)
+        c.execute(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    return c
+
+
+def test_join_equals_its_sql_on_near_copies(spark, tmp_path):
+    r = random.Random(12)
+    rows, i = [(900, None), (901, ""), (902, " \t"), (903, "One two"), (904, "one  TWO"), (905, "one two three")], 0
+    for _ in range(30):
+        base = [r.choice("abcdefgh") + r.choice("ijklmnop") for _ in range(r.randrange(3, 400))]
+        for _ in range(r.randrange(1, 6)):
+            own = list(base)
+            for _ in range(r.choice([0, 0, 1, 1, 2, 5])):
+                own[r.randrange(len(own))] = "x"
+            rows.append((i, " ".join(own)))
+            i += 1
+    c = planted(tmp_path, documents=pd.DataFrame(rows, columns=["doc_id", "text"]))
+    assert not differences(spark, c, str(tmp_path), QUERIES["op4_jaccard_join"], SQL["op4_jaccard_join"])
+    assert c.execute(f"SELECT COUNT(*) FROM ({SQL['op4_jaccard_join']}) WHERE component_id <> doc_id").fetchone()[0] > 20
+
+
+def test_near_vectors_equal_their_sql(spark, tmp_path):
+    r = np.random.default_rng(5)
+    rows = []
+    for g in range(40):
+        base = r.standard_normal(32)
+        for _ in range(int(r.integers(1, 8))):
+            v = base + r.standard_normal(32) * r.choice([0, 0.05, 0.1, 0.14])
+            rows.append((v.astype(np.float32).tolist(), int(g % 3)))
+    rows += [(None, 1), ([0.0] * 32, 1), ([1.0] * 31, 1), (rows[0][0], None), (rows[0][0], rows[0][1]), ([float("nan")] + [1.0] * 31, 2)]
+    frame = pd.DataFrame([(i, *x) for i, x in enumerate(rows)], columns=["vec_id", "embedding", "label"]).astype({"label": "Int32"})
+    c = planted(tmp_path, embeddings=frame)
+    assert not differences(spark, c, str(tmp_path), QUERIES["op9_embedding_dedup"], SQL["op9_embedding_dedup"])
+    assert c.execute(f"SELECT SUM(n_links) FROM ({SQL['op9_embedding_dedup']})").fetchone()[0] > 100
+
+
+def test_verdicts_equal_their_sql_on_linked_pages(spark, tmp_path):
+    r = random.Random(6)
+    hosts = ["a.org", "www.Example.org", "x.com", "y.net", "b.net", "c.info"]
+    paths = ["", "/", "/es/1", "/en/12", "/fr/2", "/de/3", "/p/q", "/p/q?x=1"]
+    urls = [f"http://{h}{p}" for h in hosts for p in paths]
+    tag = ['<link rel="canonical" href="{}">', "<LINK href='{}' rel=canonical>", '<meta http-equiv="refresh" content="0; url={}">', '<link rel="stylesheet" href="{}">']
+    rows = [(i, r.choice(urls) + r.choice(["", "#top"]), "<html>" + "".join(r.choice(tag).format(r.choice([*urls, "/p/q", "q", "?x=1", "//y.net/de/3", "#a"])) for _ in range(r.choice([0, 1, 1, 2])))) for i in range(40)]
+    rows += [(100, None, None), (101, "no scheme", tag[0].format("http://x.com/de/3")), (102, "http://b.net/none", None), (103, "://", "")]
+    rows += [(104, "http://z.net/a", tag[0].format("http://x.com/de/9")), (105, "http://z.net/b", tag[1].format("http://x.com/de/8")), (106, "http://z.net/b", tag[2].format("http://a.org/8"))]
+    c = planted(tmp_path, pages=pd.DataFrame(rows, columns=["page_id", "url", "html"]))
+    assert not differences(spark, c, str(tmp_path), QUERIES["op10_url_filter"], SQL["op10_url_filter"])
+    assert c.execute(f"SELECT COUNT(*) FROM ({SQL['op10_url_filter']}) WHERE rule IS NULL AND verdict = 'block'").fetchall() == [(1,)]
+
+
+def test_taken_words_equal_a_walk_over_words(spark):
+    r = random.Random(9)
+    docs = spark.createDataFrame([(i, " ".join(r.choice("abc") for _ in range(r.randrange(0, 90))), r.choice(["a", "a", "a", "b", "c", "d", None])) for i in range(200)], "doc_id long, text string, source string")
+    got = {x.doc_id: x.taken for x in mixing.mix_documents(docs).collect()}
+    at = docs.withColumn("h", F.xxhash64(F.lit(7), "doc_id", F.xxhash64("text"))).orderBy(F.pmod("h", F.lit(mixing.BUCKETS)), "h", "doc_id").collect()
+    names = ["a", "b", "c", "d", None]
+    order = {s: [x.doc_id for x in at if x.source == s for _ in x.text.split()] for s in names}  # a source's words in seeded order
+    size = [len(order[s]) for s in names]
+    weight, want, capped = [1, 2, 3, 1, 2], [0.0] * 5, set()
+    while True:  # shares, the excess over three times a source reshared
+        left = sum(size) - sum(3 * size[i] for i in capped)
+        want = [3 * size[i] if i in capped else left * weight[i] / sum(weight[j] for j in range(5) if j not in capped) for i in range(5)]
+        over = {i for i in range(5) if want[i] > 3 * size[i]}
+        if not over:
+            break
+        capped |= over
+    blocks = [-(-n // mixing.BLOCK) for n in size]
+    seats = [0] * 5
+    for _ in range(round(sum(size) / mixing.BLOCK)):
+        i = max((j for j in range(5) if seats[j] < 3 * blocks[j]), key=lambda j: (want[j] / (2 * seats[j] + 1), -j))
+        seats[i] += 1
+    taken = dict.fromkeys(got, 0)
+    for s, n, quota in zip(names, blocks, seats):
+        a, c = mixing._step(n, f"7:{s!r}")
+        for place, doc in enumerate(order[s]):
+            turn = (place // mixing.BLOCK * a + c) % n
+            taken[doc] += sum(turn + k * n < quota for k in range(3))
+    assert got == taken
+
+
+def test_mixture_equals_plain_expectation_maximisation():
+    r = np.random.default_rng(4)
+    like = r.normal(-20, 6, (60, 4)).astype(np.float32)
+    doc = np.repeat([0, 1, 3, 4], [1, 9, 20, 30])
+    got, total = language_id.mixture(like, doc, 6)
+
+    def fit(rows, pi):
+        for _ in range(language_id.ROUNDS):
+            share = [[pi[k] * math.exp(x[k] - max(x)) for k in range(4)] for x in rows]
+            pi = [sum(s[k] / sum(s) for s in share) / len(rows) for k in range(4)]
+        return pi, sum(math.log(sum(pi[k] * math.exp(x[k] - max(x)) for k in range(4))) + max(x) for x in rows)
+
+    for d in (0, 1, 3, 4):
+        rows = like[doc == d].astype(float).tolist()
+        free, _ = fit(rows, [0.25] * 4)
+        ranked = sorted(range(4), key=lambda k: -free[k])
+        best = None
+        for m in range(1, 5):  # nested sets, as far as the penalised likelihood grows
+            start = [max(free[k], 1e-6) if k in ranked[:m] else 0.0 for k in range(4)]
+            pi, ll = fit(rows, [x / sum(start) for x in start])
+            worth = ll - 0.5 * (m - 1) * math.log(len(rows) + 1) - (m - 1)
+            if best is None or worth > best[0] + 1e-9:
+                best = worth, pi
+        assert np.allclose(got[d], best[1], atol=1e-6) and total[d] == pytest.approx(best[0], rel=1e-6)
+    assert not got[2].any() and not got[5].any()
+
+
 # Fingerprints
 def test_spans_and_extensions_equal_slices():
     r = random.Random(5)
