@@ -23,7 +23,7 @@ from tabulon.llm.common import Scratch
 BUCKETS = 1 << 14
 ROUNDS = 12
 #: Code points that a step of inference holds at most, besides those of its last document.
-STEP = 1 << 20
+STEP = 1 << 18
 
 _letters: list[np.ndarray] = []
 
