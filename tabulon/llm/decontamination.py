@@ -4,7 +4,7 @@ Words are runs of ASCII letters and digits and of any other characters beyond AS
 are hashed to ``COUNTED`` terms with document counts over all documents; terms in more than ``COMMON`` of
 the documents are stop words; others fold into ``TERMS`` terms of the space. Texts without them are cut into overlapping passages of ``SPAN`` words,
 weighted by tf-idf and projected on singular vectors that a distributed randomised SVD finds: tasks sum
-A'(A W) for a random W over the passages of a bounded sample (``FIT`` documents and as many items), the
+A'(A W) for a random W over passages of all documents and items that together hold every word, the
 driver orthonormalises the sum and scales it by singular values. The benchmark's passages are put into cells of that
 space by spherical k-means; every passage of every document opens the cells whose centre is near and is compared by
 cosine with what is in them, block by block. Candidates are checked on the whole words: the longest common
@@ -46,7 +46,8 @@ LEAST = 0.7
 COPY, LOOSE = 0.8, 0.5
 #: Words of a run, for items with fewer than MEDIUM words and others: what a fifth of the words, lost, leave whole somewhere.
 RUNS, MEDIUM = (3, 4), 16
-FIT = 4096
+#: Terms of the latent space whose sums make a row.
+ROW_TERMS = 16
 #: Items and bytes of a slice of the benchmark, about; each slice is a pass over the documents.
 SLICE, SLICE_BYTES = 10_000, 8 << 20
 #: Passages and item passages that are compared at a time; item passages from which cells are made, most cells, and the cosine to a cell's centre that opens it.
@@ -172,9 +173,11 @@ def _content(ids: np.ndarray, sizes: np.ndarray, stop: np.ndarray) -> tuple[np.n
 
 
 def _gram(idf: np.ndarray, stop: np.ndarray, rank: int, seed: int):
+    """A task's part of A'(A W) over passages without overlap (but a text's last), as rows of ROW_TERMS terms; those without any word are left out."""
+
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         random = np.random.default_rng(seed).standard_normal((TERMS, rank), np.float32) * idf[:, None]
-        total = np.zeros((TERMS, rank))
+        total = np.zeros((rank, TERMS))
         for ids, sizes, _ in steps(batches):
             _, t, sizes = _content(ids, sizes, stop)
             _, start, end = passages(sizes, SPAN)
@@ -184,18 +187,29 @@ def _gram(idf: np.ndarray, stop: np.ndarray, rank: int, seed: int):
             y = project(t, random, start, end) / np.maximum(square[end] - square[start], 1e-9)[:, None]
             size = end - start
             words = np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-            own, rows = t[words], np.repeat(np.arange(len(start)), size)
-            order = np.argsort(own.astype(np.uint16), kind="stable")
-            first = np.flatnonzero(np.r_[True, np.diff(own[order]) != 0])
-            at = own[order][first]
-            total[at] += np.add.reduceat(y[rows[order]], first, axis=0) * idf[at][:, None]
-        t = np.flatnonzero(total.any(1))
-        if len(t):
-            yield pd.DataFrame({"term": t, "z": list(total[t].astype(np.float32))})
+            own, place = np.unique(t[words], return_inverse=True)
+            for k, column in enumerate(y.T):
+                total[k, own] += np.bincount(place, np.repeat(column, size), len(own))
+        del random
+        for lo in range(0, TERMS, 512 * ROW_TERMS):
+            part = slice(lo, lo + 512 * ROW_TERMS)
+            z = (total[:, part] * idf[part]).T.astype(np.float32, order="C").reshape(-1, ROW_TERMS * rank)
+            if len(at := np.flatnonzero(z.any(1))):
+                yield pd.DataFrame({"place": lo // ROW_TERMS + at, "z": [row.tobytes() for row in z[at]]})
 
     return run
 
 
+def _summed_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sums of the rows of each place, of rows sorted by place; a place that two batches share gives two."""
+    for b in batches:
+        if len(b):
+            place = b["place"].to_numpy(np.int64)
+            first = np.flatnonzero(np.r_[True, np.diff(place) != 0])
+            z = np.add.reduceat(np.frombuffer(b"".join(b["z"]), np.float32).reshape(len(b), -1), first, axis=0, dtype=np.float64)
+            yield pd.DataFrame({"place": place[first], "z": [row.tobytes() for row in z.astype(np.float32)]})
+
+
 def lcs(places: dict[int, list[int]], m: int, words: list[int]) -> int:
     """Length of the longest common subsequence, by bit-parallel rows; places: positions of each of the item's m words.
 
@@ -382,10 +396,10 @@ def _find(items: list[tuple], space: np.ndarray, stop: np.ndarray, idf: np.ndarr
 
 
 def learn_space(docs: DataFrame, items: DataFrame, rank: int = RANK, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Projection (TERMS, rank), stop words (COUNTED, a mask) and weights (TERMS); the basis from about FIT documents and FIT items at most.
+    """Projection (TERMS, rank), stop words (COUNTED, a mask) and weights (TERMS); counts are over all documents, the basis is fitted on all of them and all items.
 
-    Counts are over all documents. The driver gets the stop words, which are at most a document's mean number of different
-    words over COMMON, and one sum for each term of the space: the documents of its words, stop words taken off.
+    The driver gets the stop words, which are at most a document's mean number of different
+    words over COMMON, one sum for each term of the space (the documents of its words, stop words taken off) and one vector of it.
     """
     scratch = Scratch(docs.sparkSession, "terms")
     parts = docs.mapInPandas(_document_counts, "section int, at binary, n binary").repartition("section").sortWithinPartitions("section")
@@ -400,13 +414,12 @@ def learn_space(docs: DataFrame, items: DataFrame, rank: int = RANK, seed: int =
     stop[at] = True
     np.subtract.at(df, coarse(at), frequent["n"].to_numpy(np.float64))
     idf = (np.maximum(np.log((n + 1) / (df + 1)), 0) + 0.1).astype(np.float32)
-    share = lambda rows, size: F.pmod(F.xxhash64("text"), F.lit(1 << 30)) <= int((1 << 30) * min(1.0, FIT / max(size, 1)))
-    sample = docs.where(share(docs, n)).select("text").union(items.where(share(items, items.count())).select("text"))
-    z = sample.repartition(8).mapInPandas(_gram(idf, stop, rank, seed), "term long, z array<float>")
-    z = z.groupBy("term").agg(F.array(*(F.sum(F.col("z")[i].cast("double")).cast("float") for i in range(rank))).alias("z")).toPandas()
-    gram = np.zeros((TERMS, rank))
+    z = docs.select("text").union(items.select("text")).mapInPandas(_gram(idf, stop, rank, seed), "place int, z binary")
+    z = z.repartition("place").sortWithinPartitions("place").mapInPandas(_summed_rows, "place int, z binary").toPandas()
+    gram = np.zeros((TERMS // ROW_TERMS, ROW_TERMS * rank))
     if len(z):
-        gram[z["term"].to_numpy(np.int64)] = np.stack(z["z"].to_list())
+        np.add.at(gram, z["place"].to_numpy(np.int64), np.frombuffer(b"".join(z["z"]), np.float32).reshape(len(z), -1))
+    gram = gram.reshape(TERMS, rank)
     q, r = np.linalg.qr(gram)
     u, s, _ = np.linalg.svd(r)
     return (q @ (u / np.sqrt(np.maximum(s, 1e-9 * max(s[0], 1e-9)))) * idf[:, None]).astype(np.float32), stop, idf
