@@ -52,7 +52,7 @@ ROW_TERMS = 16
 SLICE, SLICE_BYTES = 10_000, 8 << 20
 #: Passages and item passages that are compared at a time; item passages from which cells are made, most cells, and the cosine to a cell's centre that opens it.
 ROWS, COLUMNS, DIRECT, MOST_CELLS, OPEN = 8192, 4096, 512, 1024, 0.2
-#: Characters that a step holds at most, besides those of its last document: a step's arrays take some 100 bytes a character.
+#: Characters that a step holds at most, besides those of its last document; splitting it into words takes some 50 bytes a character.
 STEP = 1 << 18
 
 _PRIME = 0x9E3779B97F4A7C15
