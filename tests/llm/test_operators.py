@@ -650,6 +650,27 @@ def test_copies_link_across_batches_with_and_without_null_labels(spark):
     assert got == {1: (2, 1, True), 2: (0, 2, True), 3: (2, 1, False), 4: (0, 4, True), 5: (2, 1, False), 6: (0, 6, True)}
 
 
+def test_the_sample_for_the_rotation_is_bounded(spark, monkeypatch):
+    """By vectors and numbers, if ids are null or equal, copies many and single vectors long."""
+    rows = near_rows(3, 2000, 60, 8, 0.09)
+    n = len(rows)
+    rows += [(None, r[1][:16], 1) for r in rows for _ in range(5)] + [(n, [float(i % 7 - 3) for i in range(100_000)], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    shapes, learn = [], embedding_dedup.learn_rotation
+    monkeypatch.setattr(embedding_dedup, "learn_rotation", lambda sample, bits: shapes.append(sample.shape) or learn(sample, bits))
+    monkeypatch.setattr(embedding_dedup, "SAMPLE", 100)
+    got = near_vectors(df).collect()
+    assert len(shapes) == 1 and 20 < shapes[0][0] < 150 and shapes[0][1] <= 1024
+    x = np.array([v for _, v, _ in rows[:n]])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([k for _, _, k in rows[:n]])
+    links = ((x @ x.T >= 0.98) & (label[:, None] == label[None])).sum(1) - 1
+    found = {r.vec_id: r.n_links for r in got if r.vec_id is not None}
+    assert len(got) == len(rows) and found[n] == 0 and links.sum() > 50
+    assert all(found[i] <= links[i] for i in range(n)) and sum(found[i] for i in range(n)) >= 0.95 * links.sum()
+    assert all(r.n_links >= 4 for r in got if r.vec_id is None)
+
+
 # URLs
 def test_url_rules_and_aliases(spark):
     page = lambda i, url, html="": (i, url, html)
