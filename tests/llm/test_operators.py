@@ -386,6 +386,36 @@ def test_mixed_rows_meet_targets_with_whole_documents(spark):
     assert [x[1] for x in copies] == [1, 1]
 
 
+def test_cuts_settle_however_many_large_documents_lie_on_them(spark):
+    r = random.Random(4)
+    rows = [(i, " ".join(["w"] * (200 if r.random() < 0.3 else r.randrange(0, 3))), "en", ["a", "b", "c", "d", None][i % 5]) for i in range(3000)]
+    sizes = {s: [len(x[1].split()) for x in rows if x[3] == s] for s in ("a", "b", "c", "d", None)}
+    want = dict(zip(sizes, mixing.targets([sum(x) for x in sizes.values()], [1, 2, 3, 1, 2])))
+    got = mixing.mixed(spark.createDataFrame(rows, DOCS)).groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()
+    assert len(got) == 5 and all(abs(x.n - want[x.source]) <= sum(sizes[x.source]) / len(sizes[x.source]) / 2 for x in got)
+
+
+def test_plans_of_many_sources_equal_those_of_few(spark):
+    r = random.Random(6)
+    sizes = {f"s{i}é" if i % 3 else f"S{i}\U0001f600": r.choice([0, 1, 7, 16, 16, 100, r.randrange(5000), r.randrange(100_000)]) for i in range(400)} | {None: 5000, "": 16}
+    sources = spark.createDataFrame([(s, n, 3) for s, n in sizes.items()], "src string, n long, source_rows long")
+    for options in ({}, {"weights": (5, 1), "most": 2, "shards": 3}, {"most": 1}):
+        got = {x.of: (x.source_size, x.target, x.blocks, x.quotas, x.a, x.c) for x in mixing.plan_table(sources, Scratch(spark, "t"), **options).collect()}
+        want = {x[0]: tuple(x[1:]) for x in mixing.plan(sizes, **options)}
+        assert got == want and sum(sum(x[3]) for x in want.values()) > 1000
+
+
+def test_more_sources_than_the_driver_plans_for(spark, monkeypatch):
+    r = random.Random(7)
+    rows = [(i, words(r, r.randrange(0, 90)), "en", r.choice(["a", "b", "c", "d", "e", None])) for i in range(300)] + [(1, None, "en", "z")]
+    docs = spark.createDataFrame(rows, DOCS)
+    few = sorted(map(str, mixing.mix_documents(docs, by_shard=True).collect()))
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 3)
+    assert sorted(map(str, mixing.mix_documents(docs, by_shard=True).collect())) == few
+    empty_ones = mixing.mix_documents(docs.withColumn("text", F.lit(" "))).agg(F.count(F.lit(1)), F.sum("taken"), F.sum("copies")).first()
+    assert tuple(empty_ones) == (301, 0, 0)
+
+
 # Decontamination
 def test_leaks_equal_brute_force(spark, odd_docs):
     r = random.Random(4)
